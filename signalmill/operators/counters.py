@@ -82,16 +82,15 @@ def endpoint_stats(points: DataFrame, metric: str, series_keys: tuple[str, ...]
     per_name = (rises.groupBy(attribute(F.col("series_attributes"), "name").alias("name")).agg(
         F.sum(n).alias("n"), F.sum(F.when(failed, n).otherwise(0)).alias("failures"), F.sum(secs).alias("total_s"),
         latest.alias("mx"), F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi")))
-    # The total is summed from the few rows per endpoint, not from the points again.
-    total = per_name.agg(
-        F.sum("n").alias("n"), F.sum("failures").alias("failures"), F.sum("total_s").alias("total_s"),
-        F.max("mx").alias("mx"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    whole = total.select(F.struct("mx", "lo", "hi")).scalar()
-    rows = (per_name.select("name", F.lit(False).alias("is_total"), "n", "failures", "total_s", "mx")
-            .unionByName(total.select(
-                F.lit(None).cast("string").alias("name"), F.lit(True).alias("is_total"),
-                "n", "failures", "total_s", "mx")))
-    return _endpoint_columns(rows.withColumn("_all", whole)).orderBy("is_total", F.asc_nulls_last("Name")).drop("is_total")
+    # The total is summed from the few rows per endpoint, not from the points again. All three
+    # uses read the same columns, so they share the shuffle behind ``per_name``.
+    parts = ("n", "failures", "total_s", "mx", "lo", "hi")
+    total = per_name.agg(*[(F.min if c == "lo" else F.max if c in ("mx", "hi") else F.sum)(c).alias(c) for c in parts])
+    rows = per_name.select("name", *parts, F.lit(False).alias("is_total")).unionByName(
+        total.select(F.lit(None).cast("string").alias("name"), *parts, F.lit(True).alias("is_total")))
+    whole = total.select(F.struct(*parts)).scalar()
+    return (_endpoint_columns(rows.withColumn("_all", whole))
+            .orderBy("is_total", F.asc_nulls_last("Name")).drop("is_total"))
 
 
 def _endpoint_columns(rows: DataFrame) -> DataFrame:

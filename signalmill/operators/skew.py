@@ -94,7 +94,8 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str
 def _cell(value: Column) -> Column:
     """A number that never falls when the value rises; about 0.1 % wide, under 1.1 million in all."""
     size = F.log2(F.abs(value) * 1e6 + 1.0) * 1024.0
-    return F.floor(F.signum(value) * size).cast("bigint")
+    # Never NULL, so that the join on it adds no filter and both of its sides share one shuffle.
+    return F.coalesce(F.floor(F.signum(value) * size).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, str],

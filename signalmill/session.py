@@ -14,6 +14,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Walking the Python stack for every column call makes building a plan slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # A deep page is sorted by range over the cluster instead of being kept
     # whole in one task.
     "spark.sql.execution.topKSortFallbackThreshold": "100000",

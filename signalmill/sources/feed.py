@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .tables import _span_id, _trace_id
+from .tables import SPAN_ID, TRACE_ID
 
 _NESTED = ('{"key":"tags","value":{"arrayValue":{"values":[{"intValue":"1"},{"stringValue":"b"},{"kvlistValue":{"values":'
            '[{"key":"z","value":{"boolValue":true}},{"key":"a","value":{"doubleValue":2.5}}]}}]}}},')
@@ -36,8 +36,8 @@ def trace_requests(ev: DataFrame) -> DataFrame:
     eid, ns = F.col("event_id"), F.col("us") * 1000
     code = F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "signup", 0).otherwise(1)
     record = F.concat(
-        F.format_string('{"traceId":"%s","spanId":"%s","traceState":"%s","name":"%s","kind":%d,', F.upper(_trace_id()),
-                        _span_id(), F.when(eid % 11 == 0, "k=v").otherwise(""), F.col("event_type"), eid % 6),
+        F.format_string('{"traceId":"%s","spanId":"%s","traceState":"%s","name":"%s","kind":%d,', F.upper(F.expr(TRACE_ID)),
+                        F.expr(SPAN_ID), F.when(eid % 11 == 0, "k=v").otherwise(""), F.col("event_type"), eid % 6),
         F.when(eid % 2 == 1, F.format_string('"parentSpanId":"%s",', F.lpad(F.lower(F.hex(eid)), 16, "0"))).otherwise(""),
         F.format_string('"startTimeUnixNano":"%d","endTimeUnixNano":"%d",', ns,
                         ns + F.floor(F.col("value") * 1000).cast("bigint") * 1000),
@@ -64,7 +64,7 @@ def log_requests(ev: DataFrame) -> DataFrame:
         F.format_string('"body":{"stringValue":"%s by \\\\"user\\\\" %d"},', F.col("event_type"), F.col("user_id")),
         F.format_string('"attributes":[{"key":"v","value":{"doubleValue":%d.5}},{"key":"ok","value":{"boolValue":%s}}],',
                         eid % 8, F.when(eid % 2 == 0, "true").otherwise("false")),
-        F.when(eid % 2 == 0, F.format_string('"traceId":"%s","spanId":"%s"', _trace_id(), _span_id()))
+        F.when(eid % 2 == 0, F.format_string('"traceId":"%s","spanId":"%s"', F.expr(TRACE_ID), F.expr(SPAN_ID)))
         .otherwise('"traceId":"","spanId":""'), F.lit("}"))
     return ev.select(_request("resourceLogs", "scopeLogs", "logRecords", record))
 
@@ -79,7 +79,7 @@ def metric_requests(ev: DataFrame) -> DataFrame:
         F.format_string('"asInt":"%d"}', eid % 10))
     bucket = F.format_string('"count":"%d","sum":%d.5,"min":0.5,"max":9.0,"explicitBounds":[5.0,"Infinity"],"bucketCounts":["%d","1","0"],'
                              '"exemplars":[{"timeUnixNano":"%d","asInt":"3","spanId":"%s","traceId":""}]}',
-                             eid % 7 + 1, eid % 5, eid % 7, ns, _span_id())
+                             eid % 7 + 1, eid % 5, eid % 7, ns, F.expr(SPAN_ID))
     exponential = F.format_string('"count":"%d","scale":1,"zeroCount":"%d","positive":{"offset":-1,"bucketCounts":["%d","2"]}}',
                                   eid % 7 + 2, eid % 3, eid % 7)
     summary = F.format_string('"count":"%d","sum":%d.5,"quantileValues":[{"quantile":0.5,"value":%d.25},{"quantile":1,"value":"Infinity"}],"flags":3}',

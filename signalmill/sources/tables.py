@@ -7,15 +7,22 @@ see FIXTURES.md.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from collections.abc import Mapping
 
-from ..functions.timeutil import DAY, HOUR, bucket_start, int_div, ntz_micros
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from ..functions.timeutil import HOUR, bucket_start, ntz_micros
 from ..operators.skew import with_previous
 from ..schemas import LOG_RECORDS, METRIC_POINTS, SPANS
 
-EPOCH_2024_US = 1_704_067_200_000_000
 EVENT_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
                 "value double, props string")
+HOUR_US = HOUR // 1000
+
+# The mapping from events to signals, as SQL expressions over ``keyed_events``.
+TRACE_ID = "lpad(lower(hex(user_id * 1000 + floor((us - 1704067200000000) / 86400000000))), 32, '0')"
+SPAN_ID = "lpad(lower(hex(event_id + 1)), 16, '0')"
+RESOURCE = """format_string('{"service.instance.id":"%s","service.name":"%s"}', inst, svc)"""
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,55 +31,30 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyed_events(raw: DataFrame) -> DataFrame:
     """Events with ``us`` (epoch microseconds), ``svc`` and ``inst``."""
-    return raw.withColumns({"us": ntz_micros(F.col("ts")),
-                            "svc": F.concat(F.lit("svc-"), (F.col("event_id") % 5).cast("string")),
-                            "inst": F.concat(F.lit("i-"), (F.col("event_id") % 3).cast("string"))})
-
-
-def _fill(df: DataFrame, schema) -> DataFrame:
-    """Puts columns in table order, absent ones as typed NULL."""
-    have = set(df.columns)
-    return df.select(*[(F.col(f.name).cast(f.dataType) if f.name in have
-                        else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
-
+    return raw.withColumn("us", ntz_micros(F.col("ts"))).selectExpr(
+        "*", "concat('svc-', event_id % 5) AS svc", "concat('i-', event_id % 3) AS inst")
 
-def _trace_id() -> Column:
-    day = int_div(bucket_start(F.col("us") - EPOCH_2024_US, DAY // 1000), DAY // 1000)
-    return F.lpad(F.lower(F.hex(F.col("user_id") * 1000 + day)), 32, "0")
 
-
-def _span_id() -> Column:
-    return F.lpad(F.lower(F.hex(F.col("event_id") + 1)), 16, "0")
-
-
-def _resource(inst: Column) -> Column:
-    return F.format_string('{"service.instance.id":"%s","service.name":"%s"}', inst, F.col("svc"))
+def _select(df: DataFrame, schema, **given: str) -> DataFrame:
+    """Table columns in order from SQL expressions; absent ones are typed NULL."""
+    return df.selectExpr(*[f"CAST({given.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema.fields])
 
 
 def spans_from(ev: DataFrame) -> DataFrame:
     """Spans without a parent; also for streams."""
-    start = F.col("us") * 1000
-    eid = F.col("event_id")
-    kind = F.col("event_type")
-    df = ev.select(
-        _trace_id().alias("trace_id"), _span_id().alias("span_id"), kind.alias("span_name"),
-        (eid % 6).alias("span_kind"), start.alias("start_ns"),
-        (start + F.floor(F.col("value") * 1000).cast("bigint") * 1000).alias("end_ns"),
-        F.col("svc").alias("service_name"),
-        F.lit("app").alias("scope_name"), F.lit("1.0").alias("scope_version"),
-        _resource(F.col("inst")).alias("resource_attributes"),
-        F.when(eid % 4 != 0, F.format_string('{"http.route":"/%s","n":%d}', kind, eid % 7)).alias("span_attributes"),
-        F.when(kind == "error", 2).when(kind == "signup", 0).otherwise(1).alias("status_code"),
-        F.when(kind == "error", "failed").alias("status_message"),
-        F.when(eid % 5 == 0, F.format_string(
-            '[{"attributes":{"k":%d},"dropped_attributes_count":0,"name":"evt.%s","time_ns":"%d"}]',
-            eid % 9, kind, start)).alias("events"),
-        F.when(eid % 7 == 0, F.format_string(
-            '[{"attributes":{},"dropped_attributes_count":0,"flags":1,"span_id":"%s","trace_id":"%s","trace_state":""}]',
-            _span_id(), _trace_id())).alias("links"),
-        F.lit(0).alias("dropped_attributes_count"), F.lit(0).alias("dropped_events_count"),
-        F.lit(0).alias("dropped_links_count"), F.lit(1).alias("flags"))
-    return _fill(df.withColumn("duration_ms", (F.col("end_ns") - F.col("start_ns")) / 1e6), SPANS)
+    end_us = "(us + floor(value * 1000))"
+    return _select(
+        ev, SPANS, trace_id=TRACE_ID, span_id=SPAN_ID, span_name="event_type", span_kind="event_id % 6",
+        start_ns="us * 1000", end_ns=f"{end_us} * 1000", duration_ms=f"({end_us} * 1000 - us * 1000) / 1e6D",
+        service_name="svc", scope_name="'app'", scope_version="'1.0'", resource_attributes=RESOURCE,
+        span_attributes="""CASE WHEN event_id % 4 <> 0 THEN format_string('{"http.route":"/%s","n":%d}', event_type, event_id % 7) END""",
+        status_code="CASE event_type WHEN 'error' THEN 2 WHEN 'signup' THEN 0 ELSE 1 END",
+        status_message="CASE WHEN event_type = 'error' THEN 'failed' END",
+        events="""CASE WHEN event_id % 5 = 0 THEN format_string(
+            '[{"attributes":{"k":%d},"dropped_attributes_count":0,"name":"evt.%s","time_ns":"%d"}]', event_id % 9, event_type, us * 1000) END""",
+        links=f"""CASE WHEN event_id % 7 = 0 THEN format_string(
+            '[{{"attributes":{{}},"dropped_attributes_count":0,"flags":1,"span_id":"%s","trace_id":"%s","trace_state":""}}]', {SPAN_ID}, {TRACE_ID}) END""",
+        dropped_attributes_count="0", dropped_events_count="0", dropped_links_count="0", flags="1")
 
 
 def spans(spark: SparkSession, sf_dir: str, parents: bool = False) -> DataFrame:
@@ -82,29 +64,21 @@ def spans(spark: SparkSession, sf_dir: str, parents: bool = False) -> DataFrame:
         return df
     linked = with_previous(df.drop("parent_span_id"), ["trace_id"], ["start_ns", "span_id"], ["span_id"],
                            bucket_start(F.col("start_ns"), HOUR))
-    return _fill(linked.withColumnRenamed("prev_span_id", "parent_span_id"), SPANS)
+    return linked.withColumnRenamed("prev_span_id", "parent_span_id").select(*SPANS.names)
 
 
 def logs_from(ev: DataFrame) -> DataFrame:
-    eid, kind = F.col("event_id"), F.col("event_type")
-    levels = {"error": (17, "ERROR"), "purchase": (13, "WARN"), "signup": (9, "INFO"),
-              "view": (5, "DEBUG"), "click": (1, "TRACE")}
-    number, text = F.lit(None), F.lit(None)
-    for name, (n, label) in levels.items():
-        number = F.when(kind == name, n).otherwise(number)
-        text = F.when(kind == name, label).otherwise(text)
-    df = ev.select(
-        (F.col("us") * 1000).alias("time_ns"),
-        F.when(eid % 3 != 0, F.col("us") * 1000 + 1_000_000).alias("observed_time_ns"),
-        text.alias("severity_text"), number.alias("severity_number"), F.col("svc").alias("service_name"),
-        F.lit("app").alias("scope_name"), F.lit("1.0").alias("scope_version"),
-        F.format_string('"%s by user %d"', kind, F.col("user_id")).alias("body"),
-        F.when(eid % 2 == 0, _trace_id()).alias("trace_id"),
-        F.when(eid % 2 == 0, _span_id()).alias("span_id"),
-        F.when(eid % 10 == 0, F.concat(F.lit("evt."), kind)).alias("event_name"),
-        F.col("props").alias("log_attributes"), _resource(F.col("inst")).alias("resource_attributes"),
-        F.lit(0).alias("flags"))
-    return _fill(df, LOG_RECORDS)
+    return _select(
+        ev, LOG_RECORDS, time_ns="us * 1000", observed_time_ns="CASE WHEN event_id % 3 <> 0 THEN us * 1000 + 1000000 END",
+        severity_text="""CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'INFO'
+            WHEN 'view' THEN 'DEBUG' WHEN 'click' THEN 'TRACE' END""",
+        severity_number="""CASE event_type WHEN 'error' THEN 17 WHEN 'purchase' THEN 13 WHEN 'signup' THEN 9
+            WHEN 'view' THEN 5 WHEN 'click' THEN 1 END""",
+        service_name="svc", scope_name="'app'", scope_version="'1.0'",
+        body="""format_string('"%s by user %d"', event_type, user_id)""",
+        trace_id=f"CASE WHEN event_id % 2 = 0 THEN {TRACE_ID} END", span_id=f"CASE WHEN event_id % 2 = 0 THEN {SPAN_ID} END",
+        event_name="CASE WHEN event_id % 10 = 0 THEN concat('evt.', event_type) END", log_attributes="props",
+        resource_attributes=RESOURCE, flags="0")
 
 
 def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,80 +87,81 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hourly(ev: DataFrame) -> DataFrame:
     """Counts per event type, service and hour: sums, maximum and four latency buckets."""
-    v = F.col("value")
-    hour_us = HOUR // 1000
-    n = lambda cond: F.count_if(cond)
-    return (ev.withColumns({"hour": bucket_start(F.col("us"), hour_us), "s": F.col("event_id") % 5})
+    return (ev.selectExpr("event_type", "svc", "event_id % 5 AS s", f"us - us % {HOUR_US} AS hour", "value AS v")
             .groupBy("event_type", "svc", "s", "hour")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(v * 100).cast("bigint")).alias("cents"),
-                 F.max(v).alias("mx"), n(v <= 5).alias("b0"), n((v > 5) & (v <= 25)).alias("b1"),
-                 n((v > 25) & (v <= 100)).alias("b2"), n(v > 100).alias("b3")))
-
-
-def _series_name() -> Column:
-    plain = F.format_string('{"name":"%s"}', F.col("event_type"))
-    return F.when(F.col("event_type") == "error",
-                  F.lit('{"error.type":"E1","name":"error"}')).otherwise(plain)
+            .agg(*map(F.expr, ("count(1) AS n", "sum(floor(v * 100)) AS cents", "max(v) AS mx", "count_if(v <= 5) AS b0",
+                               "count_if(v > 5 AND v <= 25) AS b1", "count_if(v > 25 AND v <= 100) AS b2", "count_if(v > 100) AS b3"))))
 
 
 def _histogram(ev: DataFrame, metric: str, temporality: int) -> DataFrame:
     df = _hourly(ev)
-    fields = ["n", "cents", "b0", "b1", "b2", "b3"]
     if temporality == 2:
         # One row per hour is left of each of the 25 series, so the running sums are short.
         run = W.partitionBy("event_type", "svc").orderBy("hour").rowsBetween(W.unboundedPreceding, 0)
-        df = df.withColumns({c: F.sum(c).over(run) for c in fields} | {"mx": F.max("mx").over(run)})
-    return df.select(
-        F.lit(metric).alias("metric_name"), F.lit("histogram").alias("metric_type"),
-        F.lit("ms").alias("metric_unit"), F.lit("Duration of an event").alias("metric_description"),
-        F.lit(temporality).alias("aggregation_temporality"), F.col("svc").alias("service_name"),
-        F.format_string('{"service.instance.id":"i-%d","service.name":"%s"}', F.col("s") % 3, F.col("svc")).alias("resource_attributes"),
-        _series_name().alias("series_attributes"),
-        (F.col("hour") * 1000).alias("start_ns"), (F.col("hour") * 1000 + HOUR).alias("ts_ns"),
-        F.col("n").alias("hist_count"), (F.col("cents") / 100.0).alias("hist_sum"), F.col("mx").alias("hist_max"),
-        F.lit("[5.0,25.0,100.0]").alias("hist_bounds"),
-        F.format_string("[%d,%d,%d,%d]", "b0", "b1", "b2", "b3").alias("hist_bucket_counts"), F.lit(0).alias("flags"))
+        df = df.withColumns({c: F.sum(c).over(run) for c in ("n", "cents", "b0", "b1", "b2", "b3")} | {"mx": F.max("mx").over(run)})
+    return _select(
+        df, METRIC_POINTS, metric_name=f"'{metric}'", metric_type="'histogram'", metric_unit="'ms'",
+        metric_description="'Duration of an event'", aggregation_temporality=str(temporality), service_name="svc",
+        resource_attributes="""format_string('{"service.instance.id":"i-%d","service.name":"%s"}', s % 3, svc)""",
+        series_attributes="""CASE WHEN event_type = 'error' THEN '{"error.type":"E1","name":"error"}'
+            ELSE format_string('{"name":"%s"}', event_type) END""",
+        start_ns="hour * 1000", ts_ns=f"hour * 1000 + {HOUR}", hist_count="n", hist_sum="cents / 100.0D", hist_max="mx",
+        hist_bounds="'[5.0,25.0,100.0]'", hist_bucket_counts="format_string('[%d,%d,%d,%d]', b0, b1, b2, b3)", flags="0")
+
+
+def _per_event(ev: DataFrame, metric: str, kind: str, **given: str) -> DataFrame:
+    return _select(ev, METRIC_POINTS, metric_name=f"'{metric}'", metric_type=f"'{kind}'", service_name="svc",
+                   resource_attributes=RESOURCE, ts_ns="us * 1000", flags="0", **given)
 
 
 def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metric kinds in one frame; a filter on ``metric_name`` leaves one branch of the union."""
     ev = events(spark, sf_dir)
-    eid, v = F.col("event_id"), F.col("value")
-    ts = F.col("us") * 1000
-    common = [F.col("svc").alias("service_name"), _resource(F.col("inst")).alias("resource_attributes"),
-              ts.alias("ts_ns"), F.lit(0).alias("flags")]
-    gauge = ev.select(
-        F.lit("app.value").alias("metric_name"), F.lit("gauge").alias("metric_type"), *common,
-        F.format_string('{"host":"h-%d"}', eid % 2).alias("series_attributes"),
-        F.when(eid % 2 == 0, v).alias("value_double"),
-        F.when(eid % 2 == 1, F.floor(v).cast("bigint")).alias("value_int"))
-    total = ev.where(F.col("event_type") == "purchase").select(
-        F.lit("app.purchases").alias("metric_name"), F.lit("sum").alias("metric_type"), *common,
-        F.lit("{purchase}").alias("metric_unit"), F.lit(1).alias("aggregation_temporality"),
-        F.lit(True).alias("is_monotonic"), F.lit(1).alias("value_int"))
-    exponential = ev.where(eid % 50 == 0).select(
-        F.lit("app.latency.exp").alias("metric_name"), F.lit("exponential_histogram").alias("metric_type"), *common,
-        F.lit(2).alias("aggregation_temporality"), (eid % 3).alias("exp_zero_count"), F.lit(1).alias("exp_scale"),
-        F.lit(0.0).alias("exp_zero_threshold"),
-        (eid % 3 + eid % 7 + eid % 11 + 4).alias("hist_count"),
-        F.when(eid % 100 == 0, F.format_string(
-            '{"negative":null,"positive":{"bucket_counts":[%d,%d,4],"offset":%d}}', eid % 7, eid % 11, eid % 4 - 2))
-        .otherwise(F.format_string(
-            '{"negative":{"bucket_counts":[1,2],"offset":0},"positive":{"bucket_counts":[%d,%d,1],"offset":%d}}',
-            eid % 7, eid % 11, eid % 4 - 2)).alias("exp_buckets"))
-    summary = ev.where(eid % 50 == 1).select(
-        F.lit("app.quantiles").alias("metric_name"), F.lit("summary").alias("metric_type"), *common,
-        (eid % 9).alias("summary_count"), ((eid % 9) * F.floor(v)).cast("double").alias("summary_sum"),
-        F.format_string('[{"quantile":0.99,"value":%d.5},{"quantile":0.5,"value":%d.25},{"quantile":1.0,"value":"inf"}]',
-                        F.floor(v * 2), F.floor(v)).alias("summary_quantiles"))
-    parts = [gauge, total, _histogram(ev, "app.duration", 2), _histogram(ev, "app.duration.delta", 1),
-             exponential, summary]
-    out = _fill(parts[0], METRIC_POINTS)
+    parts = [
+        _per_event(ev, "app.value", "gauge", series_attributes="""format_string('{"host":"h-%d"}', event_id % 2)""",
+                   value_double="CASE WHEN event_id % 2 = 0 THEN value END", value_int="CASE WHEN event_id % 2 = 1 THEN floor(value) END"),
+        _per_event(ev.where("event_type = 'purchase'"), "app.purchases", "sum", metric_unit="'{purchase}'",
+                   aggregation_temporality="1", is_monotonic="true", value_int="1"),
+        _histogram(ev, "app.duration", 2), _histogram(ev, "app.duration.delta", 1),
+        _per_event(ev.where("event_id % 50 = 0"), "app.latency.exp", "exponential_histogram", aggregation_temporality="2",
+                   exp_zero_count="event_id % 3", exp_scale="1", exp_zero_threshold="0.0D",
+                   hist_count="event_id % 3 + event_id % 7 + event_id % 11 + 4",
+                   exp_buckets="""CASE WHEN event_id % 100 = 0
+                       THEN format_string('{"negative":null,"positive":{"bucket_counts":[%d,%d,4],"offset":%d}}',
+                                          event_id % 7, event_id % 11, event_id % 4 - 2)
+                       ELSE format_string('{"negative":{"bucket_counts":[1,2],"offset":0},"positive":{"bucket_counts":[%d,%d,1],"offset":%d}}',
+                                          event_id % 7, event_id % 11, event_id % 4 - 2) END"""),
+        _per_event(ev.where("event_id % 50 = 1"), "app.quantiles", "summary", summary_count="event_id % 9",
+                   summary_sum="(event_id % 9) * floor(value)",
+                   summary_quantiles="""format_string(
+                       '[{"quantile":0.99,"value":%d.5},{"quantile":0.5,"value":%d.25},{"quantile":1.0,"value":"inf"}]',
+                       floor(value * 2), floor(value))"""),
+    ]
+    out = parts[0]
     for part in parts[1:]:
-        out = out.unionByName(_fill(part, METRIC_POINTS))
+        out = out.unionAll(part)
     return out
 
 
-def signal_tables(spark: SparkSession, sf_dir: str, parents: bool = False) -> dict[str, DataFrame]:
-    return {"spans": spans(spark, sf_dir, parents), "log_records": log_records(spark, sf_dir),
-            "metric_points": metric_points(spark, sf_dir)}
+class SignalTables(Mapping):
+    """The three tables by name, each built when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, parents: bool = False):
+        self._build = {"spans": lambda: spans(spark, sf_dir, parents), "log_records": lambda: log_records(spark, sf_dir),
+                       "metric_points": lambda: metric_points(spark, sf_dir)}
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._build[name]()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._build)
+
+    def __len__(self) -> int:
+        return len(self._build)
+
+
+def signal_tables(spark: SparkSession, sf_dir: str, parents: bool = False) -> Mapping[str, DataFrame]:
+    return SignalTables(spark, sf_dir, parents)
