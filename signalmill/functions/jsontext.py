@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .timeutil import is_finite
-
 
 def attribute(json_text: Column, key: str) -> Column:
     """Text of one top-level attribute; dots in the key are part of the name."""
@@ -24,39 +22,5 @@ def key_values(json_text: Column) -> Column:
     return F.from_json(json_text, "map<string,string>")
 
 
-def quoted(text: Column) -> Column:
-    """A string as a JSON literal."""
-    listed = F.to_json(F.array(text))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
-
-
-def json_double(x: Column) -> Column:
-    """A double as JSON text: shortest digits, plain notation from 1e-5 up to 1e16."""
-    plain = x.cast("string")
-    size = F.abs(x)
-    wide = F.regexp_replace(x.cast("decimal(38,9)").cast("string"), r"0{1,8}$", "")
-    small = F.regexp_replace(x.cast("decimal(38,25)").cast("string"), r"0+$", "")
-    far = F.regexp_replace(F.regexp_replace(plain, r"\.0E", "E"), "E", "e")
-    return (F.when(~is_finite(x), quoted(non_finite_text(x)))
-            .when((size >= 1e7) & (size < 1e16), wide)
-            .when((size >= 1e-5) & (size < 1e-3), small)
-            .when(plain.contains("E"), far)
-            .otherwise(plain))
-
-
 def non_finite_text(x: Column) -> Column:
     return F.when(F.isnan(x), "NaN").when(x > 0, "inf").otherwise("-inf")
-
-
-def object_text(pairs: list[tuple[str, Column]]) -> Column:
-    """JSON object text from already rendered values; a NULL value renders as null."""
-    parts: list[Column] = []
-    for i, (name, value) in enumerate(pairs):
-        parts.append(F.lit(("{" if i == 0 else ",") + f'"{name}":'))
-        parts.append(F.coalesce(value, F.lit("null")))
-    return F.concat(*parts, F.lit("}"))
-
-
-def array_text(items: Column) -> Column:
-    """JSON array text from an array of rendered values."""
-    return F.concat(F.lit("["), F.array_join(items, ",", "null"), F.lit("]"))

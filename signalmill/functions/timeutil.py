@@ -49,13 +49,6 @@ def ntz_micros(ts: Column) -> Column:
     return (since.cast("decimal(20,6)") * 1_000_000).cast("bigint")
 
 
-def clamp_u64(text: Column) -> Column:
-    """Unsigned 64-bit text to BIGINT, values above the signed range clamped to its top."""
-    wide = text.try_cast("decimal(20,0)")
-    # ``least`` would skip a NULL and answer the top of the range.
-    return F.when(wide.isNotNull(), F.least(wide, F.lit(MAX_I64).cast("decimal(20,0)")).cast("bigint"))
-
-
 def epoch_ms(value: Column, data_type: T.DataType) -> Column:
     """Milliseconds since 1970 of anything that looks like a time, else NULL.
 

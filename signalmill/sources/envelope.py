@@ -2,20 +2,17 @@
 
 Input is a frame, batch or stream, with one JSON document per row in ``value``.
 Everything runs on built-in functions; only array and map valued attributes,
-whose depth has no bound, pass through an Arrow UDF.
+whose depth has no bound, pass through an Arrow UDF. The helpers here compose
+SQL text.
 """
 
 from __future__ import annotations
 
-import json
-from decimal import Decimal
+from pyspark.sql import DataFrame, functions as F
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import types as T
-
-from ..functions.jsontext import array_text, json_double, object_text, quoted
-from ..functions.timeutil import MAX_I64, clamp_u64
+from ..functions.jsonsql import array_text, json_double, object_text, quoted
+from ..functions.nested import plain_values
+from ..functions.timeutil import MAX_I64
 from ..schemas import LOG_RECORDS, METRIC_POINTS, SPANS
 
 UNKNOWN_SERVICE = "unknown_service"
@@ -54,152 +51,111 @@ def _request(resources: str, scopes: str, records: str, record: str) -> str:
             f"{scopes}:array<struct<{_SCOPE},{records}:array<{record}>>>>>>")
 
 
-# ---------------------------------------------------------------- nested values
-
-def plain_value(value: dict | None):
-    """A tagged attribute value as plain JSON data."""
-    for tag, content in (value or {}).items():
-        if tag == "arrayValue":
-            return [plain_value(v) for v in content.get("values", [])]
-        if tag == "kvlistValue":
-            return {kv.get("key", ""): plain_value(kv.get("value")) for kv in content.get("values", [])}
-        if tag == "intValue":
-            return int(content)
-        if tag == "doubleValue":
-            return float(content)
-        if tag == "bytesValue":
-            import base64
-            return base64.b64decode(content).hex()
-        if tag in ("stringValue", "boolValue"):
-            return content
-    return None
-
-
-def plain_text(value) -> str:
-    """Compact JSON with sorted keys; non-finite numbers become text."""
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{_json_string(k)}:{plain_text(value[k])}" for k in sorted(value)) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(plain_text, value)) + "]"
-    if isinstance(value, float):
-        return _float_text(value)
-    return _json_string(value)
+# ---------------------------------------------------------------- attribute values
 
+def _nested_one(v: str) -> str:
+    """Tagged JSON of an array or map valued attribute, NULL for other values."""
+    return (f"""coalesce(concat('{{"arrayValue":', {v}.arrayValue, '}}'), concat('{{"kvlistValue":', {v}.kvlistValue, '}}'))""")
 
-def _json_string(value) -> str:
-    return json.dumps(value, ensure_ascii=False)
 
+def _nested(kvs: str) -> str:
+    """The array and map valued attributes of a list, as tagged JSON."""
+    return (f"coalesce(transform(filter({kvs}, kv -> kv.value.arrayValue IS NOT NULL OR kv.value.kvlistValue IS NOT NULL), "
+            f"kv -> {_nested_one('kv.value')}), array())")
 
-def _float_text(value: float) -> str:
-    if value != value or abs(value) == float("inf"):
-        return '"NaN"' if value != value else '"inf"' if value > 0 else '"-inf"'
-    text = repr(value)
-    if 1e-5 <= abs(value) < 1e-4:
-        return format(Decimal(text), "f")
-    mantissa, _, exponent = text.partition("e")
-    return f"{mantissa}e{int(exponent)}" if exponent else text
 
+def _with_plain(df: DataFrame, name: str, *lists: str) -> DataFrame:
+    """Adds a map from nested values (tagged JSON) to plain JSON text, NULL where a row has none."""
+    joined = lists[0] if len(lists) == 1 else f"concat({', '.join(lists)})"
+    df = df.withColumn("_found", F.expr(f"array_distinct({joined})"))
+    df = df.withColumn("_raws", F.expr("CASE WHEN size(_found) > 0 THEN _found END"))
+    df = df.withColumn("_texts", plain_values(F.col("_raws")))
+    return df.withColumn(name, F.map_from_arrays("_raws", "_texts")).drop("_found", "_raws", "_texts")
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _plain_values(raws: pd.Series) -> pd.Series:
-    return raws.map(lambda row: None if row is None else [plain_text(plain_value(json.loads(r))) for r in row])
 
+def _any_json(v: str, plain: str) -> str:
+    """A tagged value as JSON text; ``null`` when it holds nothing."""
+    return (f"CASE WHEN {v}.stringValue IS NOT NULL THEN {quoted(v + '.stringValue')} "
+            f"WHEN {v}.intValue IS NOT NULL THEN string(try_cast({v}.intValue AS bigint)) "
+            f"WHEN {v}.boolValue IS NOT NULL THEN {v}.boolValue "
+            f"WHEN {v}.doubleValue IS NOT NULL THEN {json_double(f'try_cast({v}.doubleValue AS double)')} "
+            f"""WHEN {v}.bytesValue IS NOT NULL THEN concat('"', lower(hex(try_to_binary({v}.bytesValue, 'base64'))), '"') """
+            f"ELSE coalesce(try_element_at({plain}, {_nested_one(v)}), 'null') END")
 
-def _nested(kvs: Column) -> Column:
-    """Tagged JSON of the array and map valued attributes of a list."""
-    tagged = F.transform(kvs, lambda kv: _nested_one(kv["value"]))
-    return F.filter(F.coalesce(tagged, F.array().cast("array<string>")), lambda x: x.isNotNull())
 
+def _object(kvs: str, plain: str) -> str:
+    """Attribute list as JSON object text: keys sorted, the last of equal keys wins, ``{}`` when empty."""
+    key = "coalesce(kv.key, '')"
+    keys = f"sort_array(array_distinct(transform({kvs}, kv -> {key})))"
+    # The value stands in a one-element list of its own so that it is looked up once per key.
+    value = f"element_at(filter({kvs}, kv -> {key} = k), -1).value"
+    field = f"concat({quoted('k')}, ':', transform(array({value}), v -> {_any_json('v', plain)})[0])"
+    return f"coalesce(concat('{{', array_join(transform({keys}, k -> {field}), ','), '}}'), '{{}}')"
 
-def _nested_one(v: Column) -> Column:
-    return F.coalesce(F.concat(F.lit('{"arrayValue":'), v["arrayValue"], F.lit("}")),
-                      F.concat(F.lit('{"kvlistValue":'), v["kvlistValue"], F.lit("}")))
 
+def _attributes(kvs: str, plain: str) -> str:
+    """Like ``_object``, NULL when there are no attributes."""
+    return f"CASE WHEN size({kvs}) > 0 THEN {_object(kvs, plain)} END"
 
-def _with_plain(df: DataFrame, name: str, *lists: Column) -> DataFrame:
-    """Adds a map from nested values (tagged text) to plain JSON text, NULL where a row has none."""
-    raws = F.array_distinct(F.flatten(F.array(*lists)))
-    df = df.withColumn("_raws", F.when(F.size(raws) > 0, raws))
-    df = df.withColumn("_plain_list", _plain_values(F.col("_raws")))
-    return df.withColumn(name, F.map_from_arrays("_raws", "_plain_list")).drop("_raws", "_plain_list")
 
+# ---------------------------------------------------------------- plain fields
 
-def _any_json(v: Column, plain: Column) -> Column:
-    """A tagged value as JSON text; ``null`` when it holds nothing."""
-    number = v["doubleValue"].try_cast("double")
-    return F.coalesce(
-        F.when(v["stringValue"].isNotNull(), quoted(v["stringValue"])),
-        v["boolValue"],
-        v["intValue"].try_cast("bigint").cast("string"),
-        F.when(v["doubleValue"].isNotNull(), json_double(number)),
-        F.when(v["bytesValue"].isNotNull(), quoted(F.lower(F.hex(F.try_to_binary(v["bytesValue"], F.lit("base64")))))),
-        F.try_element_at(plain, _nested_one(v)),
-        F.lit("null"))
-
-
-def _object(kvs: Column, plain: Column) -> Column:
-    """Attribute list as JSON object text: keys sorted, the last of equal keys wins, ``{}`` when empty."""
-    listed = F.coalesce(kvs, F.array().cast(_KV))
-    keys = F.array_sort(F.array_distinct(F.transform(listed, lambda kv: F.coalesce(kv["key"], F.lit("")))))
-    value_of = lambda k: F.element_at(F.filter(listed, lambda kv: F.coalesce(kv["key"], F.lit("")) == k), -1)["value"]
-    fields = F.transform(keys, lambda k: F.concat(quoted(k), F.lit(":"), _any_json(value_of(k), plain)))
-    return F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))
+def _text(x: str) -> str:
+    return f"nullif({x}, '')"
 
 
-def _attributes(kvs: Column, plain: Column) -> Column:
-    """Like ``_object``, NULL when there are no attributes."""
-    return F.when(F.size(kvs) > 0, _object(kvs, plain))
+def _hex(x: str) -> str:
+    return f"lower(coalesce({x}, ''))"
 
 
-# ---------------------------------------------------------------- shared levels
+def _unsigned(x: str) -> str:
+    return f"try_cast({x} AS decimal(20,0))"
 
-def _text(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
 
+def _time(x: str) -> str:
+    """Unsigned nanoseconds to BIGINT, values above the signed range clamped to its top; absent is 0."""
+    return f"bigint(least(coalesce({_unsigned(x)}, 0), {MAX_I64}))"
 
-def _hex(c: Column) -> Column:
-    return F.lower(F.coalesce(c, F.lit("")))
 
+def _count(x: str) -> str:
+    """Unsigned count to BIGINT; values above the signed range wrap around."""
+    n = f"coalesce({_unsigned(x)}, 0)"
+    return f"bigint(CASE WHEN {n} > {MAX_I64} THEN {n} - {2 ** 64} ELSE {n} END)"
 
-def _time(c: Column) -> Column:
-    return F.coalesce(clamp_u64(c), F.lit(0).cast("bigint"))
 
+def _double(x: str) -> str:
+    return f"try_cast({x} AS double)"
 
-def _count(c: Column) -> Column:
-    """Unsigned count to BIGINT; values above the signed range wrap around."""
-    wide = F.coalesce(c.try_cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
-    return F.when(wide > MAX_I64, wide - F.lit(Decimal(2 ** 64)).cast("decimal(20,0)")).otherwise(wide).cast("bigint")
 
+def _int_text(x: str) -> str:
+    return f"string(coalesce({x}, 0))"
 
-def _double(c: Column) -> Column:
-    return c.try_cast("double")
 
+# ---------------------------------------------------------------- shared levels
 
 def _records(lines: DataFrame, resources: str, scopes: str, records: str, record: str) -> DataFrame:
     """One row per record ``r`` with its resource and scope columns.
 
     Resource texts are made before the records are exploded, once per resource.
     """
-    parsed = lines.select(F.from_json("value", _request(resources, scopes, records, record)).alias("req"))
-    res = parsed.select(F.explode(f"req.{resources}").alias("res"))
-    attrs = F.col("res.resource.attributes")
-    res = _with_plain(res, "_rp", _nested(attrs))
-    named = F.element_at(F.filter(attrs, lambda kv: kv["key"] == "service.name"), -1)
-    has_name = F.exists(attrs, lambda kv: kv["key"] == "service.name")
-    rendered = F.nullif(F.when(has_name, _any_json(named["value"], F.col("_rp"))), F.lit("null"))
-    res = res.select(
-        F.coalesce(F.btrim(rendered, F.lit('"')), F.lit(UNKNOWN_SERVICE)).alias("service_name"),
-        _attributes(attrs, F.col("_rp")).alias("resource_attributes"),
-        _text(F.col("res.schemaUrl")).alias("_url"), F.explode(f"res.{scopes}").alias("sc"))
-    return res.select(
-        "service_name", "resource_attributes", _text(F.col("sc.scope.name")).alias("scope_name"),
-        _text(F.col("sc.scope.version")).alias("scope_version"),
-        F.coalesce(_text(F.col("sc.schemaUrl")), F.col("_url")).alias("schema_url"),
-        F.explode(f"sc.{records}").alias("r"))
-
-
-def _conform(df: DataFrame, schema) -> DataFrame:
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    request = _request(resources, scopes, records, record)
+    parsed = lines.select(F.from_json("value", request).alias("req"))
+    res = parsed.selectExpr(f"explode(req.{resources}) AS res").selectExpr(
+        "coalesce(res.resource.attributes, array()) AS attrs", f"{_text('res.schemaUrl')} AS _url", f"res.{scopes} AS scs")
+    res = _with_plain(res, "_rp", _nested("attrs"))
+    named = "filter(attrs, kv -> kv.key = 'service.name')"
+    service = f"transform({named}, kv -> nullif({_any_json('kv.value', '_rp')}, 'null'))"
+    res = res.selectExpr(
+        f"""coalesce(trim(BOTH '"' FROM try_element_at({service}, -1)), '{UNKNOWN_SERVICE}') AS service_name""",
+        f"{_attributes('attrs', '_rp')} AS resource_attributes", "_url", "explode(scs) AS sc")
+    return res.selectExpr(
+        "service_name", "resource_attributes", f"{_text('sc.scope.name')} AS scope_name", f"{_text('sc.scope.version')} AS scope_version",
+        f"coalesce({_text('sc.schemaUrl')}, _url) AS schema_url", f"explode(sc.{records}) AS r")
+
+
+def _table(rows: DataFrame, schema, **given: str) -> DataFrame:
+    """Table columns in order from SQL expressions; the rest are taken by name."""
+    return rows.selectExpr(*[f"CAST({given.get(f.name, f.name)} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema.fields])
 
 
 # ---------------------------------------------------------------- traces and logs
@@ -207,52 +163,38 @@ def _conform(df: DataFrame, schema) -> DataFrame:
 def flatten_traces(lines: DataFrame) -> DataFrame:
     """Trace requests to rows of the spans table."""
     rows = _records(lines, "resourceSpans", "scopeSpans", "spans", _SPAN)
-    s, plain = F.col("r"), F.col("_plain")
-    inner = lambda items: F.flatten(F.transform(F.coalesce(items, F.array()), lambda x: _nested(x["attributes"])))
-    rows = _with_plain(rows, "_plain", _nested(s["attributes"]), inner(s["events"]), inner(s["links"]))
-    start, end = _time(s["startTimeUnixNano"]), _time(s["endTimeUnixNano"])
-    event = lambda e: object_text([
-        ("attributes", _object(e["attributes"], plain)),
-        ("dropped_attributes_count", _int_text(e["droppedAttributesCount"])),
-        ("name", quoted(F.coalesce(e["name"], F.lit("")))), ("time_ns", quoted(_time(e["timeUnixNano"]).cast("string")))])
-    link = lambda x: object_text([
-        ("attributes", _object(x["attributes"], plain)),
-        ("dropped_attributes_count", _int_text(x["droppedAttributesCount"])), ("flags", _int_text(x["flags"])),
-        ("span_id", quoted(_hex(x["spanId"]))), ("trace_id", quoted(_hex(x["traceId"]))),
-        ("trace_state", quoted(F.coalesce(x["traceState"], F.lit(""))))])
-    zero = F.lit(0)
-    out = rows.withColumns({
-        "trace_id": _hex(s["traceId"]), "span_id": _hex(s["spanId"]), "parent_span_id": _text(_hex(s["parentSpanId"])),
-        "trace_state": _text(s["traceState"]), "span_name": F.coalesce(s["name"], F.lit("")),
-        "span_kind": F.coalesce(s["kind"], zero), "start_ns": start, "end_ns": end,
-        "duration_ms": F.greatest(F.try_subtract(end, start), zero) / 1e6,
-        "span_attributes": _attributes(s["attributes"], plain), "status_code": F.coalesce(s["status"]["code"], zero),
-        "status_message": _text(s["status"]["message"]),
-        "events": F.when(F.size(s["events"]) > 0, array_text(F.transform(s["events"], event))),
-        "links": F.when(F.size(s["links"]) > 0, array_text(F.transform(s["links"], link))),
-        "dropped_attributes_count": F.coalesce(s["droppedAttributesCount"], zero),
-        "dropped_events_count": F.coalesce(s["droppedEventsCount"], zero),
-        "dropped_links_count": F.coalesce(s["droppedLinksCount"], zero), "flags": F.coalesce(s["flags"], zero)})
-    return _conform(out, SPANS)
-
-
-def _int_text(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0)).cast("string")
+    inner = lambda items: f"coalesce(flatten(transform({items}, x -> {_nested('x.attributes')})), array())"
+    rows = _with_plain(rows, "_plain", _nested("r.attributes"), inner("r.events"), inner("r.links"))
+    event = object_text(
+        attributes=_object("x.attributes", "_plain"), dropped_attributes_count=_int_text("x.droppedAttributesCount"),
+        name=quoted("coalesce(x.name, '')"), time_ns=f"""concat('"', {_time('x.timeUnixNano')}, '"')""")
+    link = object_text(
+        attributes=_object("x.attributes", "_plain"), dropped_attributes_count=_int_text("x.droppedAttributesCount"),
+        flags=_int_text("x.flags"), span_id=quoted(_hex("x.spanId")), trace_id=quoted(_hex("x.traceId")),
+        trace_state=quoted("coalesce(x.traceState, '')"))
+    listed = lambda items, text: f"CASE WHEN size({items}) > 0 THEN {array_text(f'transform({items}, x -> {text})')} END"
+    rows = rows.withColumns({"start_ns": F.expr(_time("r.startTimeUnixNano")), "end_ns": F.expr(_time("r.endTimeUnixNano"))})
+    return _table(
+        rows, SPANS, trace_id=_hex("r.traceId"), span_id=_hex("r.spanId"), parent_span_id=_text(_hex("r.parentSpanId")),
+        trace_state=_text("r.traceState"), span_name="coalesce(r.name, '')", span_kind="coalesce(r.kind, 0)",
+        duration_ms="greatest(try_subtract(end_ns, start_ns), 0) / 1e6D", span_attributes=_attributes("r.attributes", "_plain"),
+        status_code="coalesce(r.status.code, 0)", status_message=_text("r.status.message"), events=listed("r.events", event),
+        links=listed("r.links", link), dropped_attributes_count="coalesce(r.droppedAttributesCount, 0)",
+        dropped_events_count="coalesce(r.droppedEventsCount, 0)", dropped_links_count="coalesce(r.droppedLinksCount, 0)",
+        flags="coalesce(r.flags, 0)")
 
 
 def flatten_logs(lines: DataFrame) -> DataFrame:
     """Log requests to rows of the log table; the body is JSON text, quotes included."""
     rows = _records(lines, "resourceLogs", "scopeLogs", "logRecords", _LOG)
-    r, plain = F.col("r"), F.col("_plain")
-    body_nested = F.filter(F.array(_nested_one(r["body"])), lambda x: x.isNotNull())
-    rows = _with_plain(rows, "_plain", _nested(r["attributes"]), body_nested)
-    out = rows.withColumns({
-        "time_ns": _time(r["timeUnixNano"]), "observed_time_ns": F.nullif(_time(r["observedTimeUnixNano"]), F.lit(0).cast("bigint")),
-        "severity_text": _text(r["severityText"]), "severity_number": F.coalesce(r["severityNumber"], F.lit(0)),
-        "body": F.when(r["body"].isNotNull(), _any_json(r["body"], plain)),
-        "trace_id": _text(_hex(r["traceId"])), "span_id": _text(_hex(r["spanId"])), "event_name": _text(r["eventName"]),
-        "log_attributes": _attributes(r["attributes"], plain), "flags": F.coalesce(r["flags"], F.lit(0))})
-    return _conform(out, LOG_RECORDS)
+    body = f"filter(array({_nested_one('r.body')}), x -> x IS NOT NULL)"
+    rows = _with_plain(rows, "_plain", _nested("r.attributes"), body)
+    return _table(
+        rows, LOG_RECORDS, time_ns=_time("r.timeUnixNano"), observed_time_ns=f"nullif({_time('r.observedTimeUnixNano')}, 0)",
+        severity_text=_text("r.severityText"), severity_number="coalesce(r.severityNumber, 0)",
+        body=f"CASE WHEN r.body IS NOT NULL THEN {_any_json('r.body', '_plain')} END", trace_id=_text(_hex("r.traceId")),
+        span_id=_text(_hex("r.spanId")), event_name=_text("r.eventName"), log_attributes=_attributes("r.attributes", "_plain"),
+        flags="coalesce(r.flags, 0)")
 
 
 # ---------------------------------------------------------------- metrics
@@ -260,52 +202,40 @@ def flatten_logs(lines: DataFrame) -> DataFrame:
 def flatten_metrics(lines: DataFrame) -> DataFrame:
     """Metric requests to one row per data point; metrics without data give no row."""
     rows = _records(lines, "resourceMetrics", "scopeMetrics", "metrics", _METRIC)
-    m = F.col("r")
-    kind, data = F.lit(None).cast("string"), F.lit(None).cast(_DATA)
-    for field, name in reversed(KINDS.items()):
-        kind = F.when(m[field].isNotNull(), name).otherwise(kind)
-        data = F.when(m[field].isNotNull(), m[field]).otherwise(data)
-    rows = rows.select("*", kind.alias("metric_type"), data.alias("_data")).where(F.col("_data").isNotNull())
-    rows = rows.select("*", F.explode("_data.dataPoints").alias("p"))
-    p, plain = F.col("p"), F.col("_plain")
-    inner = F.flatten(F.transform(F.coalesce(p["exemplars"], F.array()), lambda x: _nested(x["filteredAttributes"])))
-    rows = _with_plain(rows, "_plain", _nested(m["metadata"]), _nested(p["attributes"]), inner)
-    number = lambda c: json_double(_double(c))
-    exemplar = lambda e: object_text([
-        ("filtered_attributes", _object(e["filteredAttributes"], plain)), ("span_id", quoted(_hex(e["spanId"]))),
-        ("time_ns", quoted(_time(e["timeUnixNano"]).cast("string"))), ("trace_id", quoted(_hex(e["traceId"]))),
-        ("value", F.coalesce(F.when(e["asDouble"].isNotNull(), number(e["asDouble"])), e["asInt"].try_cast("bigint").cast("string")))])
-    buckets = lambda b: F.when(b.isNotNull(), object_text([
-        ("bucket_counts", array_text(F.coalesce(b["bucketCounts"], F.array().cast("array<string>")))),
-        ("offset", _int_text(b["offset"]))]))
-    quantile = lambda q: object_text([
-        ("quantile", number(F.coalesce(q["quantile"], F.lit("0")))), ("value", number(F.coalesce(q["value"], F.lit("0"))))])
-    filled = lambda xs, text: F.when(F.size(xs) > 0, text)
-    kind = F.col("metric_type")
-    only = lambda names, value: F.when(kind.isin(*names), value)
+    kind = "CASE " + " ".join(f"WHEN r.{field} IS NOT NULL THEN '{name}'" for field, name in KINDS.items()) + " END"
+    rows = rows.selectExpr("*", f"{kind} AS metric_type", f"coalesce({', '.join('r.' + field for field in KINDS)}) AS d")
+    rows = rows.selectExpr("*", "explode(d.dataPoints) AS p")
+    inner = f"coalesce(flatten(transform(p.exemplars, x -> {_nested('x.filteredAttributes')})), array())"
+    rows = _with_plain(rows, "_plain", _nested("r.metadata"), _nested("p.attributes"), inner)
+    number = lambda x: json_double(_double(x))
+    exemplar = object_text(
+        filtered_attributes=_object("x.filteredAttributes", "_plain"), span_id=quoted(_hex("x.spanId")),
+        time_ns=f"""concat('"', {_time('x.timeUnixNano')}, '"')""", trace_id=quoted(_hex("x.traceId")),
+        value=f"CASE WHEN x.asDouble IS NOT NULL THEN {number('x.asDouble')} ELSE string(try_cast(x.asInt AS bigint)) END")
+    buckets = lambda b: f"CASE WHEN {b} IS NOT NULL THEN " + object_text(
+        bucket_counts=array_text(f"coalesce({b}.bucketCounts, array())"), offset=_int_text(f"{b}.offset")) + " END"
+    quantile = object_text(quantile=number("coalesce(x.quantile, '0')"), value=number("coalesce(x.value, '0')"))
+    listed = lambda items, text: f"CASE WHEN size({items}) > 0 THEN {array_text(f'transform({items}, x -> {text})')} END"
+    only = lambda names, value: f"CASE WHEN metric_type IN ({', '.join(repr(n) for n in names)}) THEN {value} END"
     scalar, hist, exp, summary = ("gauge", "sum"), ("histogram",), ("exponential_histogram",), ("summary",)
-    out = rows.withColumns({
-        "metric_name": F.coalesce(m["name"], F.lit("")), "metric_unit": _text(m["unit"]),
-        "metric_description": _text(m["description"]),
-        "aggregation_temporality": only(("sum", *hist, *exp), F.coalesce(F.col("_data.aggregationTemporality"), F.lit(0))),
-        "is_monotonic": only(("sum",), F.coalesce(F.col("_data.isMonotonic"), F.lit(False))),
-        "series_attributes": _attributes(p["attributes"], plain), "metric_metadata": _attributes(m["metadata"], plain),
-        "exemplars": F.when(kind != "summary", filled(p["exemplars"], array_text(F.transform(p["exemplars"], exemplar)))),
-        "start_ns": F.nullif(_time(p["startTimeUnixNano"]), F.lit(0).cast("bigint")), "ts_ns": _time(p["timeUnixNano"]),
-        "value_double": only(scalar, _double(p["asDouble"])),
-        "value_int": only(scalar, F.when(p["asDouble"].isNull(), p["asInt"].try_cast("bigint"))),
-        "hist_count": only((*hist, *exp), _count(p["count"])), "hist_sum": only((*hist, *exp), _double(p["sum"])),
-        "hist_min": only((*hist, *exp), _double(p["min"])), "hist_max": only((*hist, *exp), _double(p["max"])),
-        "hist_bounds": only(hist, filled(p["explicitBounds"], array_text(F.transform(p["explicitBounds"], number)))),
-        "hist_bucket_counts": only(hist, filled(p["bucketCounts"], array_text(p["bucketCounts"]))),
-        "exp_zero_count": only(exp, _count(p["zeroCount"])), "exp_scale": only(exp, F.coalesce(p["scale"], F.lit(0))),
-        "exp_zero_threshold": only(exp, F.coalesce(_double(p["zeroThreshold"]), F.lit(0.0))),
-        "exp_buckets": only(exp, object_text([("negative", buckets(p["negative"])), ("positive", buckets(p["positive"]))])),
-        "summary_count": only(summary, _count(p["count"])),
-        "summary_sum": only(summary, F.coalesce(_double(p["sum"]), F.lit(0.0))),
-        "summary_quantiles": only(summary, filled(p["quantileValues"], array_text(F.transform(p["quantileValues"], quantile)))),
-        "flags": F.when(kind == "summary", F.lit(0)).otherwise(F.coalesce(p["flags"], F.lit(0)))})
-    return _conform(out, METRIC_POINTS)
+    both = (*hist, *exp)
+    return _table(
+        rows, METRIC_POINTS, metric_name="coalesce(r.name, '')", metric_unit=_text("r.unit"), metric_description=_text("r.description"),
+        aggregation_temporality=only(("sum", *both), "coalesce(d.aggregationTemporality, 0)"),
+        is_monotonic=only(("sum",), "coalesce(d.isMonotonic, false)"), series_attributes=_attributes("p.attributes", "_plain"),
+        metric_metadata=_attributes("r.metadata", "_plain"), exemplars=only((*scalar, *both), listed("p.exemplars", exemplar)),
+        start_ns=f"nullif({_time('p.startTimeUnixNano')}, 0)", ts_ns=_time("p.timeUnixNano"),
+        value_double=only(scalar, _double("p.asDouble")),
+        value_int=only(scalar, "if(p.asDouble IS NULL, try_cast(p.asInt AS bigint), NULL)"),
+        hist_count=only(both, _count("p.count")), hist_sum=only(both, _double("p.sum")), hist_min=only(both, _double("p.min")),
+        hist_max=only(both, _double("p.max")), hist_bounds=only(hist, listed("p.explicitBounds", number("x"))),
+        hist_bucket_counts=only(hist, f"CASE WHEN size(p.bucketCounts) > 0 THEN {array_text('p.bucketCounts')} END"),
+        exp_zero_count=only(exp, _count("p.zeroCount")), exp_scale=only(exp, "coalesce(p.scale, 0)"),
+        exp_zero_threshold=only(exp, f"coalesce({_double('p.zeroThreshold')}, 0.0D)"),
+        exp_buckets=only(exp, object_text(negative=buckets("p.negative"), positive=buckets("p.positive"))),
+        summary_count=only(summary, _count("p.count")), summary_sum=only(summary, f"coalesce({_double('p.sum')}, 0.0D)"),
+        summary_quantiles=only(summary, listed("p.quantileValues", quantile)),
+        flags="if(metric_type = 'summary', 0, coalesce(p.flags, 0))")
 
 
 FLATTEN = {"spans": flatten_traces, "log_records": flatten_logs, "metric_points": flatten_metrics}
