@@ -25,6 +25,11 @@ def point_order(values: tuple[str, ...] = ()) -> list[str]:
     return ["ts_ns", "service_name", "resource_attributes", *values]
 
 
+def _chunk(chunk_ns: int, edges: list[int] | None) -> Column:
+    ts = F.col("ts_ns")
+    return chunk_of(ts, edges) if edges else bucket_start(ts, chunk_ns)
+
+
 def counter_increase(points: DataFrame, series_keys: tuple[str, ...] = SERIES,
                      values: tuple[str, ...] = ("hist_count",), chunk_ns: int = CHUNK_NS,
                      edges: list[int] | None = None) -> DataFrame:
@@ -35,9 +40,7 @@ def counter_increase(points: DataFrame, series_keys: tuple[str, ...] = SERIES,
     series spreads over tasks; ``edges`` from ``skew.balanced_edges`` replace the
     fixed chunks where points are bunched in time.
     """
-    ts = F.col("ts_ns")
-    chunk = chunk_of(ts, edges) if edges else bucket_start(ts, chunk_ns)
-    joined = with_previous(points, list(series_keys), point_order(values), list(values), chunk)
+    joined = with_previous(points, list(series_keys), point_order(values), list(values), _chunk(chunk_ns, edges))
     for v in values:
         rise = F.col(v) - F.col(f"prev_{v}")
         joined = joined.withColumn(f"inc_{v}", F.greatest(rise, F.lit(0).cast(points.schema[v].dataType)))
@@ -45,27 +48,28 @@ def counter_increase(points: DataFrame, series_keys: tuple[str, ...] = SERIES,
 
 
 def counter_rate(points: DataFrame, metric: str, width_ns: int = HALF_MINUTE,
-                 series_keys: tuple[str, ...] = SERIES, **where) -> DataFrame:
+                 series_keys: tuple[str, ...] = SERIES, edges: list[int] | None = None, **where) -> DataFrame:
     """Requests per second and bucket from a cumulative histogram count."""
-    rises = counter_increase(observed(points, metric, **where), series_keys)
+    rises = counter_increase(observed(points, metric, **where), series_keys, edges=edges)
     return (rises.groupBy(bucket_ts(F.col("ts_ns"), width_ns).alias("ts"))
             .agg(round_to(F.sum("inc_hist_count") / (width_ns / NS_PER_S), 2).alias("rps"))
             .orderBy("ts"))
 
 
-def increase_total(points: DataFrame, metric: str, series_keys: tuple[str, ...] = SERIES, **where) -> DataFrame:
+def increase_total(points: DataFrame, metric: str, series_keys: tuple[str, ...] = SERIES,
+                 edges: list[int] | None = None, **where) -> DataFrame:
     """The increase over the whole range as one number."""
-    rises = counter_increase(observed(points, metric, **where), series_keys)
+    rises = counter_increase(observed(points, metric, **where), series_keys, edges=edges)
     return rises.agg(F.sum("inc_hist_count").alias("requests"))
 
 
 def increase_by(points: DataFrame, metric: str, attr: str, label: str, null_label: str | None = None,
-                series_keys: tuple[str, ...] = SERIES, **where) -> DataFrame:
+                series_keys: tuple[str, ...] = SERIES, edges: list[int] | None = None, **where) -> DataFrame:
     """The increase per value of a series attribute, largest first.
 
     Series without the attribute are left out, or counted under ``null_label``.
     """
-    rises = counter_increase(observed(points, metric, **where), series_keys)
+    rises = counter_increase(observed(points, metric, **where), series_keys, edges=edges)
     named = rises.withColumn(label, attribute(F.col("series_attributes"), attr))
     named = named.where(F.col(label).isNotNull()) if null_label is None else named.withColumn(
         label, F.coalesce(F.col(label), F.lit(null_label)))
@@ -73,9 +77,10 @@ def increase_by(points: DataFrame, metric: str, attr: str, label: str, null_labe
             .orderBy(F.desc("requests"), label))
 
 
-def endpoint_stats(points: DataFrame, metric: str, series_keys: tuple[str, ...] = SERIES, **where) -> DataFrame:
+def endpoint_stats(points: DataFrame, metric: str, series_keys: tuple[str, ...] = SERIES,
+                 edges: list[int] | None = None, **where) -> DataFrame:
     """Count, failures, mean, maximum and rate per endpoint, with a ``Total`` row at the end."""
-    rises = counter_increase(observed(points, metric, **where), series_keys, ("hist_count", "hist_sum"))
+    rises = counter_increase(observed(points, metric, **where), series_keys, ("hist_count", "hist_sum"), edges=edges)
     n, secs = F.col("inc_hist_count"), F.col("inc_hist_sum")
     failed = attribute(F.col("series_attributes"), "error.type").isNotNull()
     latest = F.max_by("hist_max", F.struct(*point_order(), "series_attributes", "hist_max"))
@@ -108,7 +113,8 @@ def _endpoint_columns(rows: DataFrame) -> DataFrame:
 
 
 def rate(points: DataFrame, metric: str, width_ns: int = HALF_MINUTE,
-         series_keys: tuple[str, ...] = (*SERIES, "service_name", "resource_attributes"), **where) -> DataFrame:
+         series_keys: tuple[str, ...] = (*SERIES, "service_name", "resource_attributes"),
+         edges: list[int] | None = None, **where) -> DataFrame:
     """Rate over all series of a metric, whatever its temporality.
 
     Delta points give their count over their own window; cumulative points are
@@ -120,7 +126,7 @@ def rate(points: DataFrame, metric: str, width_ns: int = HALF_MINUTE,
         "ts_ns", F.col("hist_count").alias("n"), (F.col("ts_ns") - F.col("start_ns")).alias("span_ns"))
     cumulative = kept.where(~F.coalesce(is_delta, F.lit(False)))
     before = with_previous(cumulative.withColumn("at_ns", F.col("ts_ns")), list(series_keys),
-                           point_order(("hist_count",)), ["hist_count", "at_ns"], bucket_start(F.col("ts_ns"), CHUNK_NS))
+                           point_order(("hist_count",)), ["hist_count", "at_ns"], _chunk(CHUNK_NS, edges))
     differenced = before.where(F.col("prev_at_ns").isNotNull()).select(
         "ts_ns", F.greatest(F.col("hist_count") - F.col("prev_hist_count"), F.lit(0)).alias("n"),
         (F.col("ts_ns") - F.col("prev_at_ns")).alias("span_ns"))

@@ -65,15 +65,19 @@ def chunk_of(column: Column, edges: list[int]) -> Column:
 
 
 def lookup(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str],
-           how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+           how: str = "left", hot_rows: int = HOT_ROWS, left_rows: int | None = None) -> DataFrame:
     """Joins ``left`` to ``right``, which holds at most one row per ``on`` key.
 
     Keys with ``hot_rows`` rows or more on the left are spread over several join
     keys, with as many copies of their one right row. Left rows with a NULL key
     match nothing and are spread as well. The list of hot keys is broadcast; it
     is bounded by ``MAX_HOT_KEYS`` and found on a hashed share of the rows, which
-    only steers the spreading: every row is joined, hot or not.
+    only steers the spreading: every row is joined, hot or not. Where the caller
+    has counted fewer than ``hot_rows`` rows on the left, no key can be hot and a
+    plain join does.
     """
+    if left_rows is not None and left_rows < hot_rows:
+        return left.join(right, on, how)
     share = F.pmod(F.xxhash64(*on, *spread_by), F.lit(_SAMPLE)) == 0
     weight = F.count(F.lit(1)) * _SAMPLE
     hot = (left.where(share).dropna(subset=on).groupBy(*on).agg(weight.alias("_rows"))

@@ -98,19 +98,19 @@ def span_depths(spans: DataFrame) -> DataFrame:
     start = _by_id(spans, ["parent_span_id"]).select(
         "trace_id", "span_id", F.nullif(F.col("_v.parent_span_id"), F.lit("")).alias("up"),
         F.lit(0).cast("bigint").alias("steps"))
-    state = materialise(start, "depth")
-    for _ in range(MAX_DEPTH.bit_length()):
+    open_rows = F.count_if(F.col("up").isNotNull())
+    state, seen = materialise(start, "depth", open=open_rows)
+    while seen["open"]:
         target = state.select("trace_id", F.col("span_id").alias("up"),
                               F.col("up").alias("next_up"), F.col("steps").alias("more"), F.lit(True).alias("seen"))
-        moved = lookup(state.where(F.col("up").isNotNull()), target, ["trace_id", "up"], ["span_id"])
+        moved = lookup(state.where(F.col("up").isNotNull()), target, ["trace_id", "up"], ["span_id"], left_rows=seen["open"])
         steps = F.when(F.col("seen"), F.col("steps") + 1 + F.col("more")).otherwise(F.col("steps"))
         moved = moved.select("trace_id", "span_id", steps.alias("steps"), "next_up").select(
             "trace_id", "span_id",
             F.when(F.col("steps") < MAX_DEPTH, F.col("next_up")).alias("up"),
             F.least("steps", F.lit(MAX_DEPTH)).alias("steps"))
-        state = materialise(state.where(F.col("up").isNull()).unionByName(moved), "depth")
-        if state.where(F.col("up").isNotNull()).isEmpty():
-            break
+        # Steps at least double in every round and a span is done at MAX_DEPTH, so the loop ends.
+        state, seen = materialise(state.where(F.col("up").isNull()).unionByName(moved), "depth", open=open_rows)
     return state.select("trace_id", "span_id", F.col("steps").alias("depth"))
 
 

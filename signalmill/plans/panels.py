@@ -152,7 +152,7 @@ def input_options(tables: dict[str, DataFrame], dashboard: str, name: str) -> Da
     """Choices of an input, as a column ``v``."""
     chosen = next(i for i in DASHBOARDS[dashboard].inputs if i.name == name)
     if chosen.kind == "service":
-        return services(tables).select(services(tables).columns[0]).toDF("v").orderBy("v")
+        return services(tables).toDF("v").orderBy("v")
     if chosen.kind == "attribute":
         return attribute_options(tables, chosen.table, chosen.key, chosen.resource)
     spark = next(iter(tables.values())).sparkSession

@@ -18,7 +18,7 @@ from ..functions.numbers import round_to
 from ..functions.timeutil import HALF_MINUTE, HOUR, bucket_start, epoch_ms, int_div
 from ..operators import catalog, counters, filters, histograms, logs as log_ops, metrics, red, shaping, traces
 from ..operators.skew import exact_quantiles, with_previous
-from ..session import scratch_path
+from ..session import scratch_path, widen
 from ..sources import feed, store, tables
 from ..sources.envelope import FLATTEN
 from ..streaming import ingest, live
@@ -70,7 +70,7 @@ def on_all(key: str, build: Callable[[dict[str, DataFrame]], DataFrame]) -> None
 # ------------------------------------------------------------ sources and sinks
 
 def _flattened(spark, sf, table):
-    return FLATTEN[table](feed.REQUESTS[table](tables.events(spark, sf)))
+    return FLATTEN[table](feed.REQUESTS[table](widen(tables.events(spark, sf))))
 
 
 query("s1_flatten_traces")(lambda spark, sf: _flattened(spark, sf, "spans"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 RECOMMENDED = {
     # Re-plan joins and partition counts from what the shuffles really produced.
@@ -16,6 +16,9 @@ RECOMMENDED = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Walking the Python stack for every column call makes building a plan slow.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Trace summaries hold sets and structs; without this they fall back to sorting
+    # after 128 traces per task.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     # A deep page is sorted by range over the cluster instead of being kept
     # whole in one task.
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
@@ -49,12 +52,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/signalmill/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage of iterative operators; the files outlive any executor.
+    ``counts`` are aggregates taken from the rows while they are written.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    observed = df.observe(seen, *[c.alias(name) for name, c in counts.items()]) if counts else df
+    observed.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), (seen.get if counts else {})
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spreads an input of fewer partitions than cores, such as one small file; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

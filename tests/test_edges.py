@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from signalmill.operators import counters, filters, histograms, metrics, shaping, traces
+from signalmill.operators.skew import balanced_edges
 from signalmill.schemas import METRIC_POINTS, SPANS
 
 S = 1_000_000_000
@@ -37,6 +38,13 @@ def test_counter_reset_single_point_and_null_series(spark):
     assert rows(counters.increase_by(df, "m", "error.type", "error_type", "(ok)")) == [("(ok)", 11)]
 
 
+def test_edges_give_the_same_increases(spark):
+    df = points(spark, *[{"ts_ns": t if t < 300 else t * S, "hist_count": (t * 7) % 50, "series_attributes": f'{{"name":"{t % 2}"}}'} for t in range(1, 400)])
+    edges = balanced_edges(df, "ts_ns", 8)
+    assert rows(counters.increase_by(df, "m", "name", "endpoint", edges=edges)) == rows(counters.increase_by(df, "m", "name", "endpoint"))
+    assert rows(counters.rate(df, "m", edges=edges)) == rows(counters.rate(df, "m"))
+
+
 def test_sum_of_increases_is_last_minus_first(spark):
     df = points(spark, *[{"ts_ns": t * 37 * S, "hist_count": 3 + t * t, "series_attributes": "{}"} for t in range(200)])
     assert counters.increase_total(df, "m").first()["requests"] == 199 * 199
