@@ -61,7 +61,7 @@ def log_requests(ev: DataFrame) -> DataFrame:
         F.format_string('{"timeUnixNano":"%d","observedTimeUnixNano":"%d","severityNumber":%d,"severityText":"%s",', ns,
                         F.when(eid % 3 == 0, 0).otherwise(ns + 1_000_000), F.when(F.col("event_type") == "error", 17).otherwise(9),
                         F.when(F.col("event_type") == "error", "ERROR").otherwise("")),
-        F.format_string('"body":{"stringValue":"%s by \\\\"user\\\\" %d"},', F.col("event_type"), F.col("user_id")),
+        F.format_string('"body":{"stringValue":"%s by \\"user\\" %d"},', F.col("event_type"), F.col("user_id")),
         F.format_string('"attributes":[{"key":"v","value":{"doubleValue":%d.5}},{"key":"ok","value":{"boolValue":%s}}],',
                         eid % 8, F.when(eid % 2 == 0, "true").otherwise("false")),
         F.when(eid % 2 == 0, F.format_string('"traceId":"%s","spanId":"%s"', F.expr(TRACE_ID), F.expr(SPAN_ID)))
