@@ -102,7 +102,10 @@ def _endpoint_columns(rows: DataFrame) -> DataFrame:
     n = F.nullif(F.col("n"), F.lit(0).cast("bigint")).cast("double")
     share = round_to(F.col("failures").cast("double") * 100.0 / n, 1)
     own_max = F.when(F.col("name").isNotNull(), F.col("mx"))
-    seconds = F.nullif((F.col("_all.hi") - F.col("_all.lo")) / 1e9, F.lit(0.0))
+    # The row's own bounds change nothing here; reading them keeps this plan's columns equal to
+    # those behind ``_all``, so that Spark runs the shared part once.
+    newest, oldest = F.greatest("_all.hi", "hi"), F.least("_all.lo", "lo")
+    seconds = F.nullif((newest - oldest) / 1e9, F.lit(0.0))
     return rows.select(
         F.when(F.col("is_total"), "Total").otherwise(F.coalesce("name", F.lit("(no name)"))).alias("Name"),
         F.col("n").alias("Count"),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 1000
-MAX_COPIES = 256
+NULL_SLOTS = 1 << 20
 _SAMPLE = 64
 
 
@@ -69,7 +69,7 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str
     """Joins ``left`` to ``right``, which holds at most one row per ``on`` key.
 
     Keys with ``hot_rows`` rows or more on the left are spread over several join
-    keys, with as many copies of their one right row. Left rows with a NULL key
+    keys of about ``hot_rows`` rows, with as many copies of their one right row. Left rows with a NULL key
     match nothing and are spread as well. The list of hot keys is broadcast; it
     is bounded by ``MAX_HOT_KEYS`` and found on a hashed share of the rows, which
     only steers the spreading: every row is joined, hot or not. Where the caller
@@ -83,12 +83,12 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str
     hot = (left.where(share).dropna(subset=on).groupBy(*on).agg(weight.alias("_rows"))
            .where(F.col("_rows") >= hot_rows)
            .orderBy(F.desc("_rows"), *on).limit(MAX_HOT_KEYS)
-           .select(*on, F.least(F.ceil(F.col("_rows") / hot_rows), F.lit(MAX_COPIES)).cast("int").alias("_copies")))
+           .select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_copies")))
     copies = F.coalesce(F.col("_copies"), F.lit(1))
     null_key = F.lit(False)
     for k in on:
         null_key = null_key | F.col(k).isNull()
-    slot = F.pmod(F.xxhash64(*spread_by), F.when(null_key, F.lit(MAX_COPIES)).otherwise(copies)).cast("int")
+    slot = F.pmod(F.xxhash64(*spread_by), F.when(null_key, F.lit(NULL_SLOTS)).otherwise(copies)).cast("int")
     spread = left.join(F.broadcast(hot), on, "left").withColumn("_slot", slot).drop("_copies")
     copied = (right.join(F.broadcast(hot), on, "left")
               .withColumn("_slot", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies"))

@@ -37,7 +37,7 @@ def matching_traces(spans: DataFrame, errors_only: bool = False, whole_trace: bo
     """
     kept = filter_spans(spans, **filters)
     if whole_trace:
-        kept = spans.join(kept.select("trace_id").distinct(), "trace_id", "left_semi")
+        kept = lookup(spans, kept.select("trace_id").distinct(), ["trace_id"], ["span_id"], "inner")
     out = trace_summary(kept)
     return out.where(F.col("error_count") > 0) if errors_only else out
 
