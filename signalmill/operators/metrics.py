@@ -145,7 +145,8 @@ def exponential_buckets(points: DataFrame, metric: str, **where) -> DataFrame:
             F.lit(side).alias("side"), (F.col("i") + 1).alias("i"),
             (label if side == "positive" else F.lit(None).cast("string")).alias("bucket"), "count",
             (F.pow(base, F.col("offset") + F.col("i") + 1) * sign).alias("upper_bound")))
-    zero = last.select(F.lit("zero").alias("side"), F.lit(0).alias("i"), F.lit("zero").alias("bucket"),
+    shown = (F.col("zero") != 0) | (F.size(F.col("b.positive.bucket_counts")) > 0)
+    zero = last.where(shown).select(F.lit("zero").alias("side"), F.lit(0).alias("i"), F.lit("zero").alias("bucket"),
                        F.col("zero").alias("count"), F.col("exp_zero_threshold").alias("upper_bound"))
     return zero.unionByName(halves[0]).unionByName(halves[1])
 

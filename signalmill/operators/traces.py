@@ -120,9 +120,13 @@ def waterfall(spans: DataFrame) -> DataFrame:
         F.min("start_ns").alias("trace_start_ns"), F.max("end_ns").alias("_end"))
     extent = extent.select("trace_id", "trace_start_ns", F.greatest(
         F.col("_end") - F.col("trace_start_ns"), F.lit(1)).alias("trace_ns"))
-    placed = lookup(spans.select("trace_id", "span_id", "parent_span_id", "span_name", "service_name", "start_ns", "end_ns"),
-                    span_depths(spans), ["trace_id", "span_id"], ["start_ns", "end_ns"])
-    placed = lookup(placed, extent, ["trace_id"], ["span_id", "start_ns"])
+    above = span_depths(spans).select("trace_id", F.col("span_id").alias("_up"), F.col("depth").alias("_above"))
+    placed = spans.select("trace_id", "span_id", "parent_span_id", "span_name", "service_name", "start_ns", "end_ns",
+                          F.nullif("parent_span_id", F.lit("")).alias("_up"))
+    # Spans that share an id each follow their own parent.
+    placed = lookup(placed, above, ["trace_id", "_up"], ["span_id", "start_ns"])
+    placed = placed.withColumn("depth", F.least(F.coalesce(F.col("_above") + 1, F.lit(0)), F.lit(MAX_DEPTH)).cast("bigint"))
+    placed = lookup(placed.drop("_up", "_above"), extent, ["trace_id"], ["span_id", "start_ns"])
     total = F.col("trace_ns").cast("double")
     left = (F.col("start_ns") - F.col("trace_start_ns")) / total * 100.0
     width = (F.col("end_ns") - F.col("start_ns")) / total * 100.0

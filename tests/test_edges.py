@@ -118,6 +118,21 @@ def test_depth_of_deep_chain_orphan_cycle_and_repeated_id(spark):
     assert {k[1]: v for k, v in depth.items() if k[0] == "u"} == {"o": 0, "oc": 1, "x": 65, "y": 65, "z": 65, "e": 0, "d": 0}
 
 
+def test_spans_that_share_an_id_follow_their_own_parent(spark):
+    given = spans(spark, {"span_id": "o"}, {"span_id": "d", "parent_span_id": "o", "start_ns": 1, "span_name": "first"},
+                  {"span_id": "d", "parent_span_id": "", "start_ns": 2, "span_name": "second"},
+                  {"span_id": "c", "parent_span_id": "d", "start_ns": 3, "span_name": "child"})
+    assert {r["span_name"]: r["depth"] for r in traces.waterfall(given).collect()} == {"n": 0, "first": 1, "second": 0, "child": 1}
+
+
+def test_exponential_buckets(spark):
+    shape = lambda zero, buckets: [tuple(r) for r in metrics.exponential_buckets(points(spark, {
+        "ts_ns": 1, "exp_zero_count": zero, "exp_scale": 0, "exp_zero_threshold": 0.0, "exp_buckets": buckets}), "m").collect()]
+    assert shape(0, '{"negative":null,"positive":null}') == []
+    assert shape(0, '{"negative":{"bucket_counts":[2],"offset":1},"positive":{"bucket_counts":[3,4],"offset":-1}}') == [
+        ("zero", 0, "zero", 0, 0.0), ("positive", 1, "2^-2", 3, 1.0), ("positive", 2, "2^-1", 4, 2.0), ("negative", 1, None, 2, -4.0)]
+
+
 def test_waterfall_of_one_hot_trace(spark):
     wide = chain(1) + [{"span_id": f"{i:03}", "parent_span_id": "000", "start_ns": i, "end_ns": i} for i in range(1, 400)]
     got = traces.waterfall(spans(spark, *wide))
