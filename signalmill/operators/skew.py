@@ -114,12 +114,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str
     Equal values are counted first; the counts are summed per cell (a monotone
     coarse value, a bounded number per group), the cell that holds the wanted
     rank is found from those sums, and only the values of that one cell are put
-    in order.
+    in order. The keys travel as one struct, in which NULL equals NULL.
     """
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
+    counts = (df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("_key"), value).groupBy("_key", value)
               .agg(F.count(F.lit(1)).alias("_n")).withColumn("_cell", _cell(F.col(value))))
-    cells = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_n"))
-    group = W.partitionBy(*keys)
+    cells = counts.groupBy("_key", "_cell").agg(F.sum("_n").alias("_n"))
+    group = W.partitionBy("_key")
     upto = group.orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
     total = F.col("_total").cast("decimal(20,0)")
     wanted = []
@@ -136,12 +136,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str
             .withColumn("_before", F.col("_upto") - F.col("_n"))
             .withColumn("_want", F.filter(ranks, lambda r: (r["rank"] > F.col("_before")) & (r["rank"] <= F.col("_upto"))))
             .where(F.size("_want") > 0)
-            .select(*keys, "_cell", "_before", "_total", F.explode("_want").alias("_want")))
-    in_cell = W.partitionBy(*keys, "_cell", "_want.id").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    found = (counts.join(hits, [*keys, "_cell"])
+            .select("_key", "_cell", "_before", "_total", F.explode("_want").alias("_want")))
+    in_cell = W.partitionBy("_key", "_cell", "_want.id").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    found = (counts.join(hits, ["_key", "_cell"])
              .withColumn("_upto", F.col("_before") + F.sum("_n").over(in_cell))
              .where((F.col("_want.rank") <= F.col("_upto")) & (F.col("_want.rank") > F.col("_upto") - F.col("_n"))))
-    picked = found.groupBy(*keys).agg(
+    picked = found.groupBy("_key").agg(
         F.max("_total").alias("_total"),
         *[F.max(F.when(F.col("_want.id") == f"{n}.{side}", F.col(value))).alias(f"_{n}_{side}")
           for n, side, _ in wanted])
@@ -153,4 +153,4 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str
             out.append((lo + (F.col(f"_{name}_hi") - lo) * (at - F.floor(at).cast("double"))).alias(name))
         else:
             out.append(lo.alias(name))
-    return picked.select(*keys, *out)
+    return picked.select("_key.*", *out)

@@ -124,7 +124,7 @@ DASHBOARDS = {d.name: d for d in (LOAD_TEST, DOTNET, PYTHON)}
 
 def run_panel(tables: dict[str, DataFrame], dashboard: str, panel: str, from_ns=None, to_ns=None, **inputs) -> DataFrame:
     """One panel as a DataFrame, without the row cap of the display."""
-    chosen = next(p for p in DASHBOARDS[dashboard].panels if p.id == panel)
+    chosen = {p.id: p for p in DASHBOARDS[dashboard].panels}[panel]
     return chosen.build(tables, from_ns=from_ns, to_ns=to_ns, **inputs)
 
 
@@ -150,7 +150,7 @@ def run_custom_panel(spark: SparkSession, sql: str, from_ns: int, to_ns: int, **
 
 def input_options(tables: dict[str, DataFrame], dashboard: str, name: str) -> DataFrame:
     """Choices of an input, as a column ``v``."""
-    chosen = next(i for i in DASHBOARDS[dashboard].inputs if i.name == name)
+    chosen = {i.name: i for i in DASHBOARDS[dashboard].inputs}[name]
     if chosen.kind == "service":
         return services(tables).toDF("v").orderBy("v")
     if chosen.kind == "attribute":
