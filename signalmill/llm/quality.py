@@ -45,36 +45,36 @@ def repeats(words: list[np.ndarray], min_words: int) -> list[tuple[int, int, int
         return none
     text = np.repeat(np.arange(len(words)), sizes)
     left = np.concatenate([np.arange(s, 0, -1) for s in sizes])  # words to the end of the text
-    level = [_rank(text, np.concatenate(words))]
+    level = [np.concatenate(words)]
     width = 1
     base = min(WINDOW, min_words)
-    while 2 * width <= base:  # ranks of all starts up to the shortest prefix of interest
+    while 2 * width <= base:  # ranks of all starts by their first 2, 4, ... words
         prev = level[-1]
         second = np.where(left > width, np.concatenate([prev[width:], np.zeros(min(width, n), prev.dtype)])[:n], -1)
-        level.append(_rank(prev, second))
+        level.append(_rank(text * (int(prev.max()) + 1) + prev if width == 1 else prev, second))
         width *= 2
     # Only starts whose first ``width`` words occur again can begin a repeat.
-    times = np.bincount(level[-1])
-    at = np.flatnonzero((times[level[-1]] > 1) & (left >= width))
+    whole = level[-1] if width > 1 else _rank(text, level[-1])
+    times = np.bincount(whole)
+    at = np.flatnonzero((times[whole] > 1) & (left >= width))
     if not len(at):
         return none
     small = [np.full(n, -1, np.int64)]
-    small[0][at] = level[-1][at]
+    small[0][at] = whole[at]
     span = width
     widths = [span]
     while True:  # double on, among these starts alone
         prev = small[-1]
-        ahead = at + span
-        second = np.where(left[at] > span, prev[np.minimum(ahead, n - 1)], -2)
-        # A start that is not repeated ahead is unlike every other: the negative position keeps it apart.
-        second = np.where(second == -1, n + at, second)
-        rank = np.unique(np.stack([prev[at], second + 2], 1), axis=0, return_inverse=True)[1].ravel()
+        ahead = np.minimum(at + span, n - 1)
+        # What follows is in the order of its first words, and where these occur again, of all its ``span`` words.
+        second = np.where(left[at] > span, _rank(whole[ahead], prev[ahead]), -1)
+        rank = _rank(prev[at], second)
         now = np.full(n, -1, np.int64)
         now[at] = rank
         small.append(now)
         span *= 2
         widths.append(span)
-        if len(np.unique(rank)) == len(at) or span >= int(sizes.max()):
+        if int(rank.max()) + 1 == len(at) or span >= int(sizes.max()):
             break
     order = at[np.argsort(small[-1][at], kind="stable")]
     a, b = order[:-1].copy(), order[1:].copy()
