@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: ASCII white space: the bytes at which ``bytes.split()`` splits.
 SPACE = " \t\n\x0b\x0c\r"
-SPACE_WORD = r"[^\x20\x09-\x0D]+"
+BETWEEN_WORDS = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def count_words(text: Column, between: str) -> Column:
+    """Words of a text that is never NULL; ``between`` matches what stands between words. A split, with sentinels at both ends."""
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    return (F.size(F.split(padded, between, -1)) - 2).cast("bigint")
+
+
 def plain(column: str) -> Column:
     """A column by its literal name, whatever characters it holds."""
     return F.col("`" + column.replace("`", "``") + "`")

@@ -16,11 +16,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalmill.llm.common import plain, text_of
+from signalmill.llm.common import count_words, plain, text_of
 
 #: Words after lower-casing A-Z, and the same over the raw text.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_RAW_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The base phrases and their labels.
@@ -183,7 +183,7 @@ def detections(norm: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``."""
     rows = docs.select(plain(id_col).cast("bigint").alias("doc_id"), text_of(plain(text_col)).alias("text"))
-    rows = rows.select("doc_id", "text", F.regexp_count("text", F.lit(_RAW_WORD)).cast("bigint").alias("n_words"), F.lower("text").alias("low"))
+    rows = rows.select("doc_id", "text", count_words(F.col("text"), _RAW_BETWEEN).alias("n_words"), F.lower("text").alias("low"))
     gate = F.lit(False)
     for g in GATE:
         gate = gate | F.contains("low", F.lit(g))
