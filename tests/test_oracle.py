@@ -2,11 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
 from check_oracle import compare, duck
 from conftest import SMALL
-
-ORACLE = oracle_sql()
+from signalmill.plans.oracle import ORACLE
+from signalmill.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,9 +14,9 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(ORACLE)
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("key", sorted(queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_matches_oracle(spark, con, key):
-    assert compare(spark, con, key, queries()[key], ORACLE[key], SMALL) == ""
+    assert compare(spark, con, key, QUERIES[key], ORACLE[key], SMALL) == ""
