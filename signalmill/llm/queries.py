@@ -66,7 +66,7 @@ ORACLE = {
         WITH RECURSIVE able AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
             WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
-              AND len(list_filter(embedding, x -> NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+              AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         links AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b
             ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
@@ -84,11 +84,11 @@ ORACLE = {
                                               '[^\x20\x09-\x0D]+') AS w FROM documents),
         sets AS (
             SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-                ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM split),
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM split),
         items AS (SELECT doc_id, unnest(s) AS g FROM sets),
-        overlaps AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM items a JOIN items b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM items a JOIN items b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
         links AS (
-            SELECT o.a, o.b FROM overlaps o JOIN sets x ON x.doc_id = o.a JOIN sets y ON y.doc_id = o.b
+            SELECT o.a, o.b FROM common o JOIN sets x ON x.doc_id = o.a JOIN sets y ON y.doc_id = o.b
             WHERE 100 * o.n >= 90 * (len(x.s) + len(y.s) - o.n)),
         reach AS (
             SELECT doc_id AS id, doc_id AS other FROM documents
