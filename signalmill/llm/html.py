@@ -41,7 +41,7 @@ der die das und in den von zu mit sich des auf für ist im dem nicht ein eine al
 le la les de des du et en un une que est pour qui dans sur pas au par avec plus ce il se
 el los las del y que en un una por con para es se no al lo como más su""".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>|<[a-zA-Z/!?][^>]*+\Z""", re.S)
 _MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*+"|'[^']*+'|[^\s>]++))?""", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
 BAD, OPEN, GOOD = -1, 0, 1
