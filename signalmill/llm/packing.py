@@ -161,6 +161,7 @@ def ranked(pieces: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     shift the numbers. A length with many pieces spreads over many partitions.
     """
     order = ["length", "ids_crc32", "doc_id", "piece"]
+    pieces, _ = materialise(pieces, "pack")  # the sort samples its input first, which would tokenise twice
     sorted_rows = pieces.repartitionByRange(*order).sortWithinPartitions(*order)
     kept, _ = materialise(sorted_rows.withColumn("_at", F.monotonically_increasing_id()), "pack")
     kept = kept.withColumn("_part", F.shiftright("_at", 33))
