@@ -133,10 +133,11 @@ def rate(points: DataFrame, metric: str, width_ns: int = HALF_MINUTE,
     differenced = before.where(F.col("prev_at_ns").isNotNull()).select(
         "ts_ns", F.greatest(F.col("hist_count") - F.col("prev_hist_count"), F.lit(0)).alias("n"),
         (F.col("ts_ns") - F.col("prev_at_ns")).alias("span_ns"))
-    per_second = F.col("n") * 1e9 / F.nullif(F.col("span_ns"), F.lit(0)).cast("double")
+    # Whole and decimal numbers add up to the same whatever the order; the one division of doubles comes last.
+    per_second = (F.col("n").cast("decimal(19,0)") * F.lit(10 ** 9).cast("decimal(10,0)") / F.nullif(F.col("span_ns"), F.lit(0)).cast("decimal(19,0)")).cast("decimal(38,10)")
     return (delta.unionByName(differenced)
             .groupBy(bucket_ts(F.col("ts_ns"), width_ns).alias("ts"))
-            .agg(round_to(F.sum(per_second), 4).alias("rps"), F.sum("n").alias("requests"))
+            .agg(round_to(F.sum(per_second).cast("double"), 4).alias("rps"), F.sum("n").alias("requests"))
             .orderBy("ts"))
 
 

@@ -57,9 +57,10 @@ def between_ns(df: DataFrame, column: str, start_ns: int | Column | None = None,
 
 
 def attribute_column(df: DataFrame, json_column: str, key: str) -> Column:
-    """An attribute as text: the column promoted at write time when there is one."""
+    """An attribute as text: the column promoted at write time, or the JSON text where a file was written without it."""
     promoted = promoted_name(json_column, key)
-    return F.col(f"`{promoted}`") if promoted in df.columns else attribute(F.col(json_column), key)
+    text = attribute(F.col(json_column), key)
+    return F.coalesce(F.col(f"`{promoted}`"), text) if promoted in df.columns else text
 
 
 def promoted_name(json_column: str, key: str) -> str:
@@ -68,8 +69,12 @@ def promoted_name(json_column: str, key: str) -> str:
 
 def attributes_equal(df: DataFrame, json_column: str, wanted: dict[str, str | None]) -> DataFrame:
     for key, value in wanted.items():
-        if value not in (None, ""):
-            df = df.where(attribute_column(df, json_column, key) == value)
+        if value in (None, ""):
+            continue
+        promoted = promoted_name(json_column, key)
+        if promoted in df.columns:  # pushed down; keeps the rows of files without the column for the test below
+            df = df.where((F.col(f"`{promoted}`") == value) | F.col(f"`{promoted}`").isNull())
+        df = df.where(attribute_column(df, json_column, key) == value)
     return df
 
 
@@ -79,6 +84,8 @@ def filter_spans(spans: DataFrame, service: str | None = None, q: str | None = N
     out = between_ns(spans, "start_ns", start_ns)
     if end_ns is not None:
         out = out.where(F.col("end_ns") <= _bound(end_ns))
+        if "event_date" in out.columns:  # a span starts on the day of its end or before
+            out = out.where(F.col("event_date") <= event_date(_bound(end_ns)))
     if service is not None:
         out = out.where(F.col("service_name") == service)
     if q is not None:
@@ -137,8 +144,9 @@ def select_spans(spans: DataFrame, service: str | None = None, from_ns: int | Co
     return attributes_equal(out, "span_attributes", attributes or {})
 
 
-def clamp(value: int | None, default: int, low: int, high: int) -> int:
-    return max(low, min(high, default if value is None else value))
+def page_size(limit: int | None, default: int) -> int:
+    """The caller's limit, whatever its size; a server clamps it if it must."""
+    return max(1, default if limit is None else limit)
 
 
 def time_range(preset: str = "all", from_ms: float | None = None, to_ms: float | None = None,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.jsontext import double_array, key_values
 from ..functions.timeutil import is_finite
 from .counters import gauge_value
-from .filters import clamp, filter_metrics, filter_points
+from .filters import filter_metrics, filter_points, page_size
 
 POINT_COLUMNS = (
     "service_name", "scope_name", "series_attributes", "resource_attributes", "exemplars", "metric_metadata",
@@ -24,6 +24,7 @@ _BUCKETS = "struct<positive:struct<offset:int,bucket_counts:array<bigint>>,negat
 class MetricDetail(NamedTuple):
     metadata: DataFrame
     points: DataFrame
+    truncated: DataFrame
 
 
 def metric_summary(points: DataFrame, any_value: bool = False) -> DataFrame:
@@ -45,7 +46,7 @@ def metrics_list(points: DataFrame, service: str | None = None, q: str | None =
                  limit: int | None = None, any_value: bool = False) -> DataFrame:
     return (metric_summary(filter_metrics(points, service, q), any_value)
             .orderBy("metric_name", "metric_type", F.asc_nulls_last("metric_unit"), F.asc_nulls_last("metric_description"))
-            .limit(clamp(limit, 100, 1, 1000)))
+            .limit(page_size(limit, 100)))
 
 
 def metric_detail(points: DataFrame, name: str, service: str | None = None, start_ns: int | None = None,
@@ -56,12 +57,14 @@ def metric_detail(points: DataFrame, name: str, service: str | None = None, star
     """
     own = filter_points(points, name, service, start_ns, end_ns)
     about = own.select("metric_name", "metric_type", "metric_unit", "metric_description").limit(1)
-    size = clamp(limit, 5000, 1, 20000)
+    size = page_size(limit, 5000)
+    found = own
     oldest_first = ["ts_ns", *[F.asc_nulls_first(c) for c in _TIES]]
     if newest:
         own = own.orderBy(F.desc("ts_ns"), *[F.desc_nulls_last(c) for c in _TIES]).limit(size)
     page = own.orderBy(*oldest_first).limit(size)
-    return MetricDetail(about, page.select(*POINT_COLUMNS))
+    truncated = found.limit(size + 1).agg((F.count(F.lit(1)) > size).alias("truncated"))
+    return MetricDetail(about, page.select(*POINT_COLUMNS), truncated)
 
 
 def point_value(points: DataFrame) -> Column:

@@ -13,9 +13,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1000
 NULL_SLOTS = 1 << 20
-_SAMPLE = 64
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list[str],
@@ -64,42 +62,36 @@ def chunk_of(column: Column, edges: list[int]) -> Column:
     return F.size(F.filter(cuts, lambda e: e <= column)).cast("bigint")
 
 
-def lookup(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str],
-           how: str = "left", hot_rows: int = HOT_ROWS, left_rows: int | None = None) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Joins ``left`` to ``right``, which holds at most one row per ``on`` key.
 
     Keys with ``hot_rows`` rows or more on the left are spread over several join
-    keys of about ``hot_rows`` rows, with as many copies of their one right row. Left rows with a NULL key
-    match nothing and are spread as well. The list of hot keys is broadcast; it
-    is bounded by ``MAX_HOT_KEYS`` and found on a hashed share of the rows, which
-    only steers the spreading: every row is joined, hot or not. Where the caller
-    has counted fewer than ``hot_rows`` rows on the left, no key can be hot and a
-    plain join does.
+    keys of about ``hot_rows`` rows, with as many copies of their one right row.
+    The rows of all keys are counted, with partial sums before the shuffle; the
+    table of hot keys is an ordinary join side, broadcast only if Spark finds it
+    small. Left rows with a NULL key match nothing and are spread as well. A row's
+    slot comes from all its columns.
     """
-    if left_rows is not None and left_rows < hot_rows:
-        return left.join(right, on, how)
-    share = F.pmod(F.xxhash64(*on, *spread_by), F.lit(_SAMPLE)) == 0
-    weight = F.count(F.lit(1)) * _SAMPLE
-    hot = (left.where(share).dropna(subset=on).groupBy(*on).agg(weight.alias("_rows"))
+    hot = (left.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
            .where(F.col("_rows") >= hot_rows)
-           .orderBy(F.desc("_rows"), *on).limit(MAX_HOT_KEYS)
            .select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_copies")))
     copies = F.coalesce(F.col("_copies"), F.lit(1))
     null_key = F.lit(False)
     for k in on:
         null_key = null_key | F.col(k).isNull()
-    slot = F.pmod(F.xxhash64(*spread_by), F.when(null_key, F.lit(NULL_SLOTS)).otherwise(copies)).cast("int")
-    spread = left.join(F.broadcast(hot), on, "left").withColumn("_slot", slot).drop("_copies")
-    copied = (right.join(F.broadcast(hot), on, "left")
+    slot = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.when(null_key, F.lit(NULL_SLOTS)).otherwise(copies)).cast("int")
+    spread = left.join(hot, on, "left").withColumn("_slot", slot).drop("_copies")
+    copied = (right.join(hot, on, "left")
               .withColumn("_slot", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies"))
     return spread.join(copied, [*on, "_slot"], how).drop("_slot")
 
 
 def _cell(value: Column) -> Column:
-    """A number that never falls when the value rises; about 0.1 % wide, under 1.1 million in all."""
+    """A number that never falls when the value rises; about 0.1 % wide, under 1.1 million in all. NaN is above all."""
     size = F.log2(F.abs(value) * 1e6 + 1.0) * 1024.0
+    cell = F.floor(F.signum(value) * size).cast("bigint")
     # Never NULL, so that the join on it adds no filter and both of its sides share one shuffle.
-    return F.coalesce(F.floor(F.signum(value) * size).cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(F.when(F.isnan(value.cast("double")), F.lit(1 << 40)).otherwise(cell), F.lit(0).cast("bigint"))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, str],

@@ -428,9 +428,9 @@ add("h4_increase_total", *total())
 add("h5_increase_by_endpoint", *by_endpoint())
 add("h5_increase_by_error", *by_error())
 add("h6_endpoint_stats", *endpoints())
-add("h7_rate_delta", PTS, f"""SELECT {bucket('ts_ns', HOUR_US)} AS ts, round(sum(hist_count*1e9/(ts_ns-start_ns)), 4) AS rps, sum(hist_count)::BIGINT AS requests
+add("h7_rate_delta", PTS, f"""SELECT {bucket('ts_ns', HOUR_US)} AS ts, round(sum((2*hist_count::HUGEINT*10000000000000000000 + ts_ns-start_ns)//(2*(ts_ns-start_ns)))/1e10, 4) AS rps, sum(hist_count)::BIGINT AS requests
   FROM pts WHERE metric_name = 'app.duration.delta' AND hist_count > 0 GROUP BY 1""")
-add("h7_rate_cumulative", PTS, f"""SELECT {bucket('ts_ns', HOUR_US)} AS ts, round(sum(n*1e9/span), 4) AS rps, sum(n)::BIGINT AS requests FROM (
+add("h7_rate_cumulative", PTS, f"""SELECT {bucket('ts_ns', HOUR_US)} AS ts, round(sum((2*n::HUGEINT*10000000000000000000 + span)//(2*span))/1e10, 4) AS rps, sum(n)::BIGINT AS requests FROM (
   SELECT ts_ns, greatest(hist_count - lag(hist_count) OVER w, 0) AS n, ts_ns - lag(ts_ns) OVER w AS span FROM ({OBSERVED})
   WINDOW w AS (PARTITION BY series_attributes, service_name, resource_attributes ORDER BY ts_ns)) WHERE span IS NOT NULL GROUP BY 1""")
 add("h8_gauge_series", *gauge())
@@ -499,7 +499,7 @@ add("c5_summary_quantiles", PTS + f", last AS ({_LAST.format('app.quantiles')}),
 ORACLE["c6_waterfall"] = f"""WITH RECURSIVE {SPANS}, tree AS (SELECT trace_id, span_id, 0 AS depth FROM spans WHERE parent_span_id IS NULL
   UNION ALL SELECT s.trace_id, s.span_id, t.depth + 1 FROM tree t JOIN spans s ON s.trace_id = t.trace_id AND s.parent_span_id = t.span_id),
   ext AS (SELECT trace_id, min(start_ns) AS lo, greatest(max(end_ns) - min(start_ns), 1) AS total FROM spans GROUP BY 1)
-  SELECT s.trace_id, s.span_id, least(depth, 65)::BIGINT AS depth, (start_ns - lo)/total::DOUBLE*100.0::DOUBLE AS left_pct,
+  SELECT s.trace_id, s.span_id, depth::BIGINT AS depth, (start_ns - lo)/total::DOUBLE*100.0::DOUBLE AS left_pct,
   greatest((end_ns - start_ns)/total::DOUBLE*100.0::DOUBLE, 0.5) AS width_pct FROM spans s JOIN tree USING (trace_id, span_id) JOIN ext ON ext.trace_id = s.trace_id"""
 add("c7_line", snapshots(), f"SELECT (ts//1000)::DOUBLE AS x, p50, p95, p99 FROM ({percentiles()})")
 add("c8_scatter", SPANS, "SELECT start_ns/1e6 AS x, duration_ms, status_code::DOUBLE AS status_code FROM spans")

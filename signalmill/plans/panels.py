@@ -16,7 +16,6 @@ from ..operators import counters, histograms, red
 from ..operators.catalog import attribute_options, services
 from .console import check_read_only
 
-PANEL_ROWS = 5000
 
 
 class Input(NamedTuple):
@@ -129,8 +128,8 @@ def run_panel(tables: dict[str, DataFrame], dashboard: str, panel: str, from_ns=
 
 
 def run_dashboard(tables: dict[str, DataFrame], dashboard: str, from_ns=None, to_ns=None,
-                  max_rows: int | None = PANEL_ROWS, **inputs) -> dict[str, DataFrame]:
-    """All panels of a dashboard, each capped for display; nothing runs until a panel is read."""
+                  max_rows: int | None = None, **inputs) -> dict[str, DataFrame]:
+    """All panels of a dashboard, whole unless ``max_rows`` is set; nothing runs until a panel is read."""
     out = {}
     for panel in DASHBOARDS[dashboard].panels:
         df = panel.build(tables, from_ns=from_ns, to_ns=to_ns, **inputs)

@@ -37,11 +37,13 @@ def build_session(master: str | None = None, app: str = "signalmill", **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read and write.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, notebooks) a local folder is made.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local
+    folder is made for a local master only, which has one machine; else it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="signalmill-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -1,7 +1,9 @@
-"""The signal tables on Parquet, partitioned by UTC day."""
+"""The signal tables on Parquet: a folder per batch, partitioned by UTC day in it. Batch jobs and streams write alike."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +31,13 @@ def table_schema(table: str, promote: Promoted = ()) -> T.StructType:
     return T.StructType([*fields, *extra, T.StructField("event_date", T.DateType())])
 
 
-def append(df: DataFrame, root: str, table: str, promote: Promoted = (), balance: bool = True) -> None:
-    """Appends a batch; readers see all of it or nothing.
+def append(df: DataFrame, root: str, table: str, promote: Promoted = (), balance: bool = True,
+           batch: str | None = None) -> None:
+    """Appends a batch, in a folder of its own.
+
+    A batch written again under the same name replaces itself and adds nothing.
+    Files become visible as Spark commits them; there is no transaction around a
+    batch for those who read meanwhile.
 
     ``balance`` spreads a large day over several files and keeps small days in
     one, and sorts each file so that row groups can be skipped by service and time.
@@ -38,11 +45,11 @@ def append(df: DataFrame, root: str, table: str, promote: Promoted = (), balance
     out = with_layout(df, table, promote)
     if balance:
         out = out.hint("rebalance", "event_date").sortWithinPartitions("event_date", "service_name", TIME_COLUMN[table])
-    out.write.mode("append").partitionBy("event_date").parquet(f"{root}/{table}")
+    out.write.mode("overwrite").partitionBy("event_date").parquet(f"{root}/{table}/batch={batch or 'b-' + uuid.uuid4().hex}")
 
 
 def read_table(spark: SparkSession, root: str, table: str, promote: Promoted = ()) -> DataFrame:
-    return spark.read.schema(table_schema(table, promote)).parquet(f"{root}/{table}")
+    return spark.read.schema(table_schema(table, promote)).parquet(f"{root}/{table}").drop("batch")
 
 
 def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -50,7 +57,7 @@ def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def reset(spark: SparkSession, root: str) -> None:
-    """Empties the three tables."""
+    """Empties the three tables, whatever wrote them; one after the other."""
     for table in TABLES:
         empty = spark.createDataFrame([], table_schema(table))
         empty.write.mode("overwrite").partitionBy("event_date").parquet(f"{root}/{table}")

@@ -41,14 +41,14 @@ def test_lookup_equals_join(spark, hot_rows, how):
     left = series(spark)
     right = spark.range(45).select(F.when(F.col("id") == 44, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"),
                                    (F.col("id") * 10).alias("found"))
-    got = lookup(left, right, ["k"], ["tie"], how, hot_rows)
+    got = lookup(left, right, ["k"], how, hot_rows)
     assert rows(got.select("k", "tie", "found")) == rows(left.join(right, "k", how).select("k", "tie", "found"))
 
 
 def test_lookup_spreads_hot_and_null_keys(spark):
     left = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "hot").alias("k"), "id")
     right = spark.createDataFrame([("hot", 1)], "k string, found int")
-    joined = lookup(left, right, ["k"], ["id"], hot_rows=500)
+    joined = lookup(left, right, ["k"], hot_rows=500)
     assert joined.where("found = 1").count() == 10_000
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "_slot" in plan
