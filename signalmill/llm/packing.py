@@ -21,79 +21,22 @@ are packed as often as they occur. An empty table packs into nothing.
 
 from __future__ import annotations
 
-import os
 import zlib
 from bisect import bisect_left, insort
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalmill.llm.common import Memo, plain, text_of
+from signalmill.llm.common import plain, text_of
+from signalmill.llm.wordbpe import word_tokens
 from signalmill.session import materialise
 
-WORDS, CHUNKS = 900_000, 600_000
 _PIECES = "array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"
 _KIND = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                             ("ids_crc32", pa.int64())]))
 
 
-class WordTokens:
-    """Token ids of whole texts as little-endian bytes, for a tokenizer that drops white space and never crosses it."""
-
-    def __init__(self, tokenizer_file: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.chunks = Memo(CHUNKS)
-        self.words = Memo(WORDS)
-        self.chunks[""] = b""
-
-    def learn(self, missing: list[str]) -> None:
-        """Encodes chunks; plain letters and the punctuation around them apart, as the tokenizer cuts there anyway."""
-        if len(self.words) > WORDS:
-            self.words.clear()
-        split = {}
-        for c in missing:
-            word = c.strip(".,!?;:|*%&$#()\"")
-            if word and word.isalpha() and word.lower().isalpha():
-                at = c.index(word)
-                split[c] = [p for p in (c[:at], word.lower() if word.isascii() else word, c[at + len(word):]) if p]
-            else:
-                split[c] = [c]
-        new = [p for p in {p for parts in split.values() for p in parts} if p not in self.words]
-        if new:  # in one call, with a space after each; offsets tell whose the ids are
-            found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-            ends = np.cumsum([len(p) + 1 for p in new])
-            starts = np.array(found.offsets, "i8").reshape(-1, 2)[:, 0]
-            cuts = 4 * np.searchsorted(starts, ends)
-            ids = np.array(found.ids, "<u4").tobytes()
-            at = 0
-            for p, cut in zip(new, cuts.tolist()):
-                self.words[p] = ids[at:cut]
-                at = cut
-        for c, parts in split.items():
-            self.chunks[c] = b"".join([self.words[p] for p in parts])
-
-    def ids(self, text: str) -> bytes:
-        keys = text.replace("\n", " ").split(" ")
-        known = self.chunks
-        if len(known) > CHUNKS:
-            known.clear()
-            known[""] = b""
-        missing = [k for k in set(keys) if k not in known]
-        if missing:
-            self.learn(missing)
-        return b"".join(map(known.__getitem__, keys))
-
-
-@lru_cache(maxsize=2)
-def word_tokens(tokenizer_file: str) -> WordTokens:
-    return WordTokens(tokenizer_file)
-
-
 def pieces_of(text: Column, tokenizer_file: str, capacity: int, end_id: int = 0) -> Column:
     """Pieces of each text: the ids followed by ``end_id``, cut after every ``capacity`` tokens."""
 

@@ -75,6 +75,25 @@ def test_packing(spark):
         assert len(windows) <= -(-total // 256) * 1.1 + 1
 
 
+def test_word_tokens():
+    import random
+
+    import numpy as np
+
+    from signalmill.llm.wordbpe import LONGEST, word_tokens
+
+    words = word_tokens(public_tokenizers.path(queries.WORDS))
+    rng = random.Random(1)
+    alphabet = ([*"abcdefghijklmnopqrstuvwxyz"] * 2 + [*"ABCXYZ0123456789'''''!?.,-#  \t\n\x0b\x85\xa0\x1c\x00éüßñÀÉİıſ…–—’“²½Жжά́ʼª​\xad"]
+                + ["'s", "'ll", "'re", "'ve", "'d", "'t", "'m", "''s", "the", "ing"])
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(5000)]
+    other = ["Σσς", "日本", "😀 a", "٠1 ก", "a<|endoftext|>b", "ab" * LONGEST]  # these go to the library whole
+    assert all(words._marked_pieces(t) is None for t in other)
+    assert sum(words._marked_pieces(t) is not None for t in texts) > 4900
+    for t in [*texts, *other, "", " ", "it's 'tis don't o'clock 'S \"'s", "́a", *(t for t in ODD if t)]:
+        assert words.ids(t) == np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
 def test_plan_is_best_fit():
     sizes = [9, 8, 7, 6, 5, 5, 4, 3, 2, 2, 1, 1, 1]
     plan = packing.plan_rounds(Counter(sizes), 10)
