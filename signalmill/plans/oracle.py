@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..schemas import DDL
+
 H = 3_600_000_000_000
 HALF_MIN_US, HOUR_US = 30_000_000, 3_600_000_000
 T0 = 1_704_067_200_000_000_000
@@ -176,22 +178,12 @@ add("s6_scan_points", PTS, "SELECT * FROM pts")
 add("s8_generate_series", SPANS, f"""SELECT hour, count(start_ns) AS n FROM (SELECT unnest(generate_series(min(start_ns - start_ns % {H}), max(start_ns - start_ns % {H}),
   {H})) AS hour FROM spans) a LEFT JOIN spans s ON s.start_ns - s.start_ns % {H} = a.hour GROUP BY hour""")
 
-_TYPES = {"S": "VARCHAR", "J": "VARCHAR", "I": "INTEGER", "L": "BIGINT", "D": "DOUBLE", "B": "BOOLEAN"}
-# The three stored tables.
-_TABLES = {
-    "spans": "trace_id S, span_id S, parent_span_id S, trace_state S, span_name S, span_kind I, start_ns L, end_ns L, duration_ms D, service_name S, "
-             "scope_name S, scope_version S, schema_url S, resource_attributes J, span_attributes J, status_code I, status_message S, events J, links J, "
-             "dropped_attributes_count I, dropped_events_count I, dropped_links_count I, flags L",
-    "log_records": "time_ns L, observed_time_ns L, severity_text S, severity_number I, service_name S, scope_name S, scope_version S, schema_url S, body J, "
-                   "trace_id S, span_id S, event_name S, log_attributes J, resource_attributes J, flags L",
-    "metric_points": "metric_name S, metric_type S, metric_unit S, metric_description S, aggregation_temporality I, is_monotonic B, service_name S, "
-                     "scope_name S, scope_version S, schema_url S, resource_attributes J, series_attributes J, metric_metadata J, exemplars J, start_ns L, "
-                     "ts_ns L, value_double D, value_int L, hist_count L, hist_sum D, hist_min D, hist_max D, hist_bounds J, hist_bucket_counts J, "
-                     "exp_zero_count L, exp_scale I, exp_zero_threshold D, exp_buckets J, summary_count L, summary_sum D, summary_quantiles J, flags L"}
 _COUNT_OF = {"spans": "spans", "log_records": "logs", "metric_points": "pts"}
+_SQL_NAMES = {"STRING": "VARCHAR", "INT": "INTEGER"}
+_COLUMNS = [(t, i, *line.rstrip(",").split()[:2]) for t, ddl in DDL.items() for i, line in enumerate(ddl.strip().splitlines(), 1)]
 _schema_rows = " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {_COUNT_OF[t]}) AS row_count, {i}::INTEGER AS ordinal, '{c.split()[0]}' AS column_name, "
-    f"'{_TYPES[c.split()[1]]}' AS data_type" for t, cols in _TABLES.items() for i, c in enumerate(cols.split(", "), 1))
+    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {_COUNT_OF[t]}) AS row_count, {i}::INTEGER AS ordinal, '{c}' AS column_name, "
+    f"'{_SQL_NAMES.get(kind, kind)}' AS data_type" for t, i, c, kind in _COLUMNS)
 for _key in ("s9_schema_listing", "q8_schema"):
     add(_key, ALL, _schema_rows)
 add("s10_table_stats", ALL, """SELECT 'spans' AS table_name, count(*) AS estimated_size, 23::INTEGER AS column_count, true AS has_bytes FROM spans
@@ -277,9 +269,8 @@ add("a15_basic_aggregates", SPANS, """SELECT service_name, span_kind, count(*) A
 add("a16_histogram_mean", PTS, "SELECT service_name, series_attributes, ts_ns, round(hist_sum/hist_count, 3) AS mean FROM pts WHERE metric_name = 'app.duration'")
 add("a17_distinct_attribute", SPANS, """SELECT DISTINCT json_extract_string(span_attributes, '$."http.route"') AS v FROM spans WHERE span_attributes IS NOT NULL""")
 add("a18_profile", SPANS, " UNION ALL ".join(
-    f"SELECT '{c.split()[0]}' AS column_name, min({c.split()[0]})::VARCHAR AS min, max({c.split()[0]})::VARCHAR AS max, count(*) AS count, "
-    f"count(*) - count({c.split()[0]}) AS null_count FROM spans"
-    for c in _TABLES["spans"].replace("duration_ms D, ", "").replace("parent_span_id S, ", "").split(", "))
+    f"SELECT '{c}' AS column_name, min({c})::VARCHAR AS min, max({c})::VARCHAR AS max, count(*) AS count, count(*) - count({c}) AS null_count FROM spans"
+    for t, _, c, _ in _COLUMNS if t == "spans" and c not in ("duration_ms", "parent_span_id"))
     + " UNION ALL SELECT 'parent_span_id', NULL, NULL, count(*), count(*) FROM spans")
 
 # ------------------------------------------------------------ windows, joins, sets, sorts
