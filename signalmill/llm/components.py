@@ -9,8 +9,18 @@ from signalmill.session import materialise
 
 
 def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict[int, int]:
-    """Smallest node connected to each linked node within a tile, by breadth-first search over whole rows."""
+    """Smallest node connected to each linked node within a tile, by breadth-first search over whole rows.
+
+    A node may stand in several rows and columns; what they reach is one component.
+    """
     root: dict[int, int] = {}
+    above: dict[int, int] = {}  # roots of components that a later one joined
+
+    def top(low: int) -> int:
+        while low in above:
+            low = above[low]
+        return low
+
     open_rows = linked.any(1)
     while open_rows.any():
         rows = np.zeros(len(left), bool)
@@ -23,11 +33,12 @@ def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict[int,
             columns |= reached
             front = linked[:, reached].any(1) & ~rows if reached.any() else np.zeros(len(left), bool)
         members = np.concatenate([left[rows], right[columns]]).tolist()
-        low = min(members)
-        for m in members:
-            root[m] = min(low, root.get(m, m))
+        roots = {top(root[m]) for m in members if m in root}
+        low = min(*members, *roots)
+        above.update((r, low) for r in roots if r != low)
+        root.update(dict.fromkeys(members, low))
         open_rows &= ~rows
-    return root
+    return {m: top(low) for m, low in root.items()}
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:

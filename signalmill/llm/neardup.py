@@ -11,9 +11,9 @@ double precision; a pair that keeps to it in several blocks counts in the first
 one only, so the union of candidates needs no list of pairs.
 
 Large cells are cut into tiles of ``TILE`` residents by ``TILE`` visitors on
-separate tasks. A tile gives each visitor its number of links and the smallest
-vector it is connected to in the tile. Equal vectors of one label travel as one,
-with a weight.
+separate tasks. A tile gives each visitor its number of links, and each linked
+vector, visitor or resident, the smallest one it is connected to in the tile.
+Equal vectors of one label travel as one, with a weight.
 
 NULL labels, and vectors that are NULL, zero or hold NULL or non-finite
 components link with nothing; vectors of different length do not either. Repeated
@@ -93,6 +93,7 @@ def _tile(visitors: list[tuple], residents: list[tuple], block: int, cosine: flo
     scaled = [s / np.abs(s).max(1, keepdims=True) for s in x]
     norms = [np.linalg.norm(s, axis=1) for s in scaled]
     parts, total = blocks(u[0].shape[1]), 2 - 2 * cosine
+    linked = np.zeros((len(visitors), len(residents)), bool)
     for at in range(0, len(visitors), _STEP):
         step = slice(at, at + _STEP)
 
@@ -112,14 +113,15 @@ def _tile(visitors: list[tuple], residents: list[tuple], block: int, cosine: flo
             rows, columns = rows[keep], columns[keep]
         exact = (scaled[0][step][rows] * scaled[1][columns]).sum(1) / (norms[0][step][rows] * norms[1][columns])
         keep = exact >= cosine
-        if not keep.any():
-            continue
-        linked = np.zeros((len(ids[0][step]), len(residents)), bool)
-        linked[rows[keep], columns[keep]] = True
-        root = forest(linked, ids[0][step], ids[1])
-        for v, n in zip(ids[0][step].tolist(), (linked @ weights).tolist()):
-            if n:
-                yield v, n, root[v]
+        linked[at + rows[keep], columns[keep]] = True
+    if not linked.any():
+        return
+    root = forest(linked, *ids)
+    counts = {}
+    for at in range(0, len(visitors), _STEP):
+        counts |= zip(ids[0][at:at + _STEP].tolist(), (linked[at:at + _STEP] @ weights).tolist())
+    for v, low in root.items():  # residents too: each link of the tile is within one root
+        yield v, counts.get(v, 0), low
 
 
 def _tiles(cosine: float):

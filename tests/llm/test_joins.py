@@ -118,3 +118,39 @@ def test_permutation(spark):
     for n in (1, 2, 7, 64, 1000):
         got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("bigint"), F.lit("s"))).collect()]
         assert sorted(got) == list(range(n))
+
+
+def on_circle(degrees):
+    return [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+
+
+def test_near_vectors_in_large_cells(spark, monkeypatch):
+    # Stars whose leaves have the smaller ids, and chains that end in one, in one label: leaves and middle are visitors of
+    # different steps. Workers import the module, so that the step is as it is; the tile is the driver's.
+    rng, at = np.random.default_rng(3), {}
+    for k in range(200):
+        middle, way = np.linalg.qr(rng.normal(size=(12, 2)))[0].T
+        degrees = {1000 + k: 0, k: -15, 300 + k: 15} if k % 2 else {2000 + k: 0, 3000 + k: 15, 1500 + k: 30, 500 + k: 45}
+        at |= {i: np.cos(np.radians(d)) * middle + np.sin(np.radians(d)) * way for i, d in degrees.items()}
+    ids = rng.permutation(sorted(at))
+    x = np.stack([at[i] for i in ids])
+    links = [(int(ids[a]), int(ids[b])) for a, b in np.argwhere(x @ x.T >= 0.93) if a < b]
+    want, counts = roots(ids.tolist(), links), defaultdict(int)
+    for a, b in links:
+        counts[a] += 1
+        counts[b] += 1
+    d = spark.createDataFrame([(int(i), v.tolist(), 1) for i, v in zip(ids, x)], "vec_id long, embedding array<double>, label int")
+    for tile in (neardup.TILE, 100):
+        monkeypatch.setattr(neardup, "TILE", tile)
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(d).collect()}
+        assert got == {i: (counts[i], want[i], want[i] == i) for i in want}
+
+
+def test_tile_yields_every_linked_vector(monkeypatch):
+    # 7 is linked to 1 and 5, these two are not: what the visitors 7 and 5 give must join all three.
+    monkeypatch.setattr(neardup, "_STEP", 1)
+    raw = {i: np.array(on_circle(at)).tobytes() for i, at in {7: 0, 1: -15, 5: 15}.items()}
+    side = [(i, 1, raw[i]) for i in (7, 1, 5)]
+    for visitors, residents in ((side, side), (side[:1], side[1:])):
+        edges = [(v, low) for v, _, low in neardup._tile(visitors, residents, 0, 0.93)]
+        assert set(roots([7, 1, 5], edges).values()) == {1}
