@@ -28,9 +28,10 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 
 # License families as (label, keyword, name in words, versions).
 FAMILIES = (
-    ("mit", "mit", "mit|expat", ()),
+    ("mit", "mit", "mit", ()),
+    ("mit", "expat", "expat", ()),
     ("apache", "apache", "apache", ("1.0", "1.1", "2.0", "2")),
-    ("gpl", "general public", "(?:gnu )?general public|gnu gpl", ("1", "2", "3")),
+    ("gpl", "general public", "(?:gnu )?general public", ("1", "2", "3")),
     ("gpl", "gpl", "(?:gnu )?gpl", ("1", "2", "3")),
     ("lgpl", "lgpl", "(?:gnu )?lgpl", ("2", "2.1", "3")),
     ("lgpl", "lesser general", "(?:gnu )?lesser general public", ("2.1", "3")),
@@ -42,7 +43,8 @@ FAMILIES = (
     ("bsd-3-clause", "bsd", "(?:3 clause|three clause|new|modified|revised) bsd|bsd (?:3 clause|three clause)", ()),
     ("bsd-4-clause", "bsd", "(?:4 clause|four clause|original) bsd|bsd (?:4 clause|four clause)", ()),
     ("bsd", "bsd", "bsd|bsd style", ()),
-    ("0bsd", "0bsd", "0bsd|zero clause bsd", ()),
+    ("0bsd", "0bsd", "0bsd", ()),
+    ("0bsd", "zero clause bsd", "zero clause bsd", ()),
     ("isc", "isc", "isc", ()),
     ("mpl", "mozilla", "mozilla public", ("1.0", "1.1", "2.0")),
     ("epl", "eclipse", "eclipse public", ("1.0", "2.0")),
@@ -56,7 +58,8 @@ FAMILIES = (
     ("zlib", "zlib", "zlib|zlib libpng", ()),
     ("psf", "python software", "python software foundation", ("2",)),
     ("ofl", "open font", "(?:sil )?open font", ("1.0", "1.1")),
-    ("odbl", "open database", "open data ?base|open database commons", ("1.0",)),
+    ("odbl", "open database", "open database|open database commons", ("1.0",)),
+    ("odbl", "open data base", "open data base", ("1.0",)),
     ("odc-by", "open data commons", "open data commons attribution", ("1.0",)),
     ("ms-pl", "microsoft public", "microsoft public", ()),
     ("ms-rl", "microsoft reciprocal", "microsoft reciprocal", ()),
@@ -117,10 +120,6 @@ def rules() -> list[tuple[str, int, float, str, str]]:
     return out
 
 
-#: What a text must hold, in lower case, for any rule or base phrase to match.
-GATE = ("licen", "copyright", "reserved", "public domain", "cc", "proprietary", "redistribution", "permission", "creative", "spdx")
-
-
 def _spaces(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("bigint")
 
@@ -170,10 +169,12 @@ def _surviving(found: Column, levels: int) -> Column:
 
 def detections(norm: Column) -> Column:
     """All matches of all rules in a normalised text, sorted by start, longest, highest priority, rule order."""
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(s).alias("score"),
-                               F.lit(k).alias("keyword"), F.lit(e).alias("expression"))
-                      for i, (label, p, s, k, e) in enumerate(rules())])
-    gated = F.filter(table, lambda r: F.contains(norm, r["keyword"]))
+    known: dict[str, list[Column]] = {}
+    for i, (label, p, s, k, e) in enumerate(rules()):
+        known.setdefault(k, []).append(F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"),
+                                                F.lit(s).alias("score"), F.lit(e).alias("expression")))
+    table = F.array(*[F.struct(F.lit(f" {k}").alias("keyword"), F.array(*own).alias("rules")) for k, own in known.items()])
+    gated = F.flatten(F.transform(F.filter(table, lambda k: F.contains(norm, k["keyword"])), lambda k: k["rules"]))
     found = F.flatten(F.transform(gated, lambda r: F.transform(_intervals(norm, r), lambda x: F.struct(
         x["a"].alias("a"), (-x["b"]).alias("back"), (-r["priority"]).alias("low"), r["rule"].alias("rule"), x["b"].alias("b"),
         r["priority"].alias("priority"), r["label"].alias("label"), r["score"].alias("score")))))
@@ -183,13 +184,9 @@ def detections(norm: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``."""
     rows = docs.select(plain(id_col).cast("bigint").alias("doc_id"), text_of(plain(text_col)).alias("text"))
-    rows = rows.select("doc_id", "text", count_words(F.col("text"), _RAW_BETWEEN).alias("n_words"), F.lower("text").alias("low"))
-    gate = F.lit(False)
-    for g in GATE:
-        gate = gate | F.contains("low", F.lit(g))
     words = F.trim(F.regexp_replace(F.translate("text", _UPPER, _LOWER), _BETWEEN, " "))
-    rows = rows.select("doc_id", "n_words", F.when(gate, F.concat(F.lit(" "), words, F.lit(" "))).alias("norm"))
-    rows = rows.withColumn("d", F.when(F.col("norm").isNotNull(), _surviving(detections(F.col("norm")), 5)))
+    rows = rows.select("doc_id", count_words(F.col("text"), _RAW_BETWEEN).alias("n_words"), F.concat(F.lit(" "), words, F.lit(" ")).alias("norm"))
+    rows = rows.withColumn("d", _surviving(detections(F.col("norm")), 5))
     n, labels, firsts, lasts = F.lit(0).cast("bigint"), [], [], []
     for phrase, label in BASE:
         hits, pieces = _matches(F.col("norm"), F.lit(phrase))

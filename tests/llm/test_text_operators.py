@@ -189,6 +189,48 @@ def test_license_rules(spark, text, labels):
     assert len(licenses.rules()) > 200
 
 
+def example_matches(expression):
+    """Texts that a rule's expression matches: each way through its alternatives, optional parts out and in."""
+    from re import _constants as c, _parser
+
+    def ways(parsed):
+        out = [""]
+        for op, arg in parsed:
+            if op is c.LITERAL:
+                own = [chr(arg)]
+            elif op is c.IN:
+                first = next(((o, a) for o, a in arg if o is not c.NEGATE))
+                own = [chr(first[1] if first[0] is c.LITERAL else first[1][0])] if first[0] is not c.CATEGORY else ["x"]
+            elif op is c.MAX_REPEAT:
+                own = ([""] if arg[0] == 0 else []) + [w * max(arg[0], 1) for w in ways(arg[2])]
+            elif op is c.SUBPATTERN:
+                own = ways(arg[-1])
+            else:
+                assert op is c.BRANCH, op
+                own = [w for branch in arg[1] for w in ways(branch)]
+            out = [a + b for a in out for b in own]
+        return out
+
+    return ways(_parser.parse(expression))
+
+
+def test_every_license_match_holds_its_keyword():
+    for label, _, _, keyword, expression in licenses.rules():
+        tail = expression.removeprefix(licenses.GRANT)  # the grant holds no keyword
+        for text in example_matches(tail):
+            assert re.fullmatch(tail, text) and f" {keyword}" in f" {text} ", (label, keyword, text)
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("Released under the GNU GPL version 3", "gpl-3"), ("distributed under the GPL v2 or later", "gpl-2"), ("available under Apache 2.0", "apache-2"),
+    ("put into the public\ndomain", "public-domain"), ("in the public-domain", "public-domain"), ("under the Expat licence", "mit"),
+    ("the Zero-Clause BSD License", "0bsd"), ("Open Data Base License 1.0", "odbl-1"), ("a permit to discuss access, commit it", "")])
+def test_license_notices_without_gate_words(spark, text, labels):
+    around = "An account of the access to other works. " * 5
+    rows = [r["labels"] for r in licenses.scan(spark.createDataFrame([(1, text), (2, around + text)], "doc_id long, text string")).collect()]
+    assert rows == [labels, labels]
+
+
 def test_html_pages(spark):
     def truth(page):
         article = re.search(r"<article>(.*?)</article>", page, re.S)[1]
