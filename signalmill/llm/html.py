@@ -3,8 +3,9 @@
 A page is cut into blocks at block-level tags. Pass one classifies each block:
 where the page marks its parts (``article``, ``main``, ``nav``, class names such
 as ``sidebar``) the mark decides; elsewhere stop-word density, length and link
-density call a block good or bad, or leave it open when it is short or in
-between. Pass two lets open blocks inherit from the nearest decided neighbours:
+density call a block good or bad, or leave it open when it is short or without
+evidence. Where most text of a page's long blocks has no stop words (another
+language, tables, code), they say nothing and length decides. Pass two lets open blocks inherit from the nearest decided neighbours:
 good if both sides are good, and where they differ, from the nearer side.
 
 NULL and empty pages give the empty text. Unclosed, crossed and unknown tags are
@@ -145,21 +146,30 @@ def blocks_of(page: str) -> list[tuple[str, int, int]]:
     return blocks
 
 
-def first_pass(block: tuple[str, int, int], marked: bool, short: int, long: int, low: float, high: float,
-               most_links: float) -> int:
-    """GOOD, BAD or OPEN. ``marked``: the page has an article, so text outside it is not the main text."""
+def density_of(text: str) -> float:
+    """Share of stop words."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
+
+
+def boilerplate(block: tuple[str, int, int], most_links: float) -> bool:
+    return block[1] > most_links * len(block[0]) or "©" in block[0]
+
+
+def first_pass(block: tuple[str, int, int], marked: bool, spoken: bool, short: int, long: int, high: float, most_links: float) -> int:
+    """GOOD, BAD or OPEN.
+
+    ``marked``: the page has an article, so text outside it is not the main text.
+    ``spoken``: stop words tell the page's texts apart.
+    """
     text, links, mark = block
     if mark or marked:
         return mark or BAD
-    if links > most_links * len(text) or "©" in text:
+    if boilerplate(block, most_links):
         return BAD
-    words = text.lower().split()
-    density = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
     if len(text) < short:
         return BAD if links else OPEN
-    if density >= high:
-        return GOOD if len(text) > long else OPEN
-    return OPEN if density >= low else BAD
+    return GOOD if len(text) > long and (not spoken or density_of(text) >= high) else OPEN
 
 
 def second_pass(labels: list[int]) -> list[int]:
@@ -184,7 +194,9 @@ def second_pass(labels: list[int]) -> list[int]:
 def main_text(page: str, short: int = 70, long: int = 140, low: float = 0.2, high: float = 0.3, most_links: float = 0.33) -> str:
     blocks = blocks_of(page)
     marked = any(mark == GOOD for _, _, mark in blocks)
-    labels = second_pass([first_pass(b, marked, short, long, low, high, most_links) for b in blocks])
+    free = [] if marked else [b[0] for b in blocks if not b[2] and len(b[0]) >= short and not boilerplate(b, most_links)]
+    spoken = 2 * sum(len(t) for t in free if density_of(t) >= low) >= sum(map(len, free))
+    labels = second_pass([first_pass(b, marked, spoken, short, long, high, most_links) for b in blocks])
     return " ".join(text for (text, _, _), label in zip(blocks, labels) if label == GOOD)
 
 

@@ -256,6 +256,28 @@ def test_html_blocks_without_marks():
     assert html.main_text("<article><p>a&nbsp; b<br>c <script>x</script>d<div class=ad>no</div></article>") == "a b c d"
 
 
+@pytest.mark.parametrize("long, short", [
+    ("Это длинный абзац статьи, в котором нет слов из списка; он рассказывает о погоде, море и людях. " * 2, "Коротко."),
+    ("Questo articolo racconta storie di mare e di persone che vivono sulla costa, tra barche e mercati. " * 2, "Breve."),
+    ("這是一篇關於天氣、海洋和人們的長文章，其中沒有列表中的任何單詞。" * 6, "短句。"),
+    ("Ten długi akapit opowiada o pogodzie, morzu i ludziach, którzy mieszkają nad brzegiem. " * 2, "Krótko.")])
+def test_html_without_marks_in_other_languages(long, short):
+    long = long.strip()
+    page = (f"<body><div class=menu><a href=x>One</a></div><div><a href=1>{short} {short}</a></div><h1>{short}</h1><p>{long}<p>{short}<p>{long}"
+            f"<div id=comments><p>{long}</p></div><div><a href=1>{long}</a></div><p>&copy; 2020 a b c"
+            "<p>This is a note on the use of cookies and it is for you to read.</body>")
+    kept = html.main_text(page)
+    assert kept.startswith(long) or kept.startswith(f"{short} {long}")
+    assert kept.count(long) == 2 and "2020" not in kept
+
+
+def test_html_tables_and_code_between_paragraphs():
+    long = " ".join(["the words of this long paragraph are in the main text and it is fine"] * 4)
+    code = "def total(values): return sum(value * weight for value, weight in zip(values, weights)) or None"
+    page = f"<body><p>{long}<pre>{code}</pre><table><tr><td>{code}</table><p>{long}<div class=menu>{code}</div></body>"
+    assert html.main_text(page) == f"{long} {code} {code} {long}"
+
+
 def digests(rows):
     turns = "".join(f"{r or ''}\n{t or ''}\n" for r, t in rows)
     loss = "".join(t or "" for r, t in rows if r == "assistant")
