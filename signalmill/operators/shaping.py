@@ -1,7 +1,7 @@
 """Chart-ready shapes of any result frame.
 
-Which columns a shape uses is decided at plan time, from a sample of 50 rows
-and one aggregate; the rows themselves stay a DataFrame.
+Which columns a shape uses is decided at plan time, from one aggregate over all
+rows; the rows themselves stay a DataFrame.
 """
 
 from __future__ import annotations
@@ -39,22 +39,21 @@ def _time(df: DataFrame, name: str) -> Column:
     return epoch_ms(_col(df, name), df.schema[name].dataType)
 
 
-def _facts(df: DataFrame) -> tuple[int, dict[str, int], dict[str, int]]:
-    """Row count, numeric values per column and non-NULL values per column."""
-    one = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[F.count(_number(df, c)).alias(f"num{i}") for i, c in enumerate(df.columns)],
-                 *[F.count(_col(df, c)).alias(f"any{i}") for i, c in enumerate(df.columns)]).first()
-    return (one["n"], {c: one[f"num{i}"] for i, c in enumerate(df.columns)},
-            {c: one[f"any{i}"] for i, c in enumerate(df.columns)})
+class Facts(NamedTuple):
+    """Row count; numeric, non-NULL and (where asked for) time values per column."""
+
+    n: int
+    numeric: dict[str, int]
+    present: dict[str, int]
+    times: dict[str, int]
 
 
-def _time_columns(df: DataFrame) -> tuple[int, list[str]]:
-    """Size of the 50-row sample and the columns in which every sampled value is a time."""
-    head = df.limit(50)
-    one = head.agg(F.count(F.lit(1)).alias("n"),
-                   *[F.count(_col(df, c)).alias(f"any{i}") for i, c in enumerate(df.columns)],
-                   *[F.count(_time(df, c)).alias(f"time{i}") for i, c in enumerate(df.columns)]).first()
-    return one["n"], [c for i, c in enumerate(df.columns) if one[f"any{i}"] == one[f"time{i}"] > 0]
+def _facts(df: DataFrame, times: bool = False) -> Facts:
+    counted = {"num": _number, "any": _col} | ({"time": _time} if times else {})
+    one = df.agg(F.count(F.lit(1)).alias("n"),
+                 *[F.count(value(df, c)).alias(f"{kind}{i}") for kind, value in counted.items() for i, c in enumerate(df.columns)]).first()
+    return Facts(one["n"], *[{c: one[f"{kind}{i}"] for i, c in enumerate(df.columns)} if kind in counted else {}
+                             for kind in ("num", "any", "time")])
 
 
 def _named_first(columns: list[str]) -> str | None:
@@ -62,12 +61,15 @@ def _named_first(columns: list[str]) -> str | None:
 
 
 def line(df: DataFrame) -> Shape | None:
-    """A time column and up to eight numeric columns that are not times themselves, in time order."""
-    sampled, times = _time_columns(df)
+    """A time column and up to eight numeric columns that are not times themselves, in time order.
+
+    In a time column every value that is not NULL reads as a time.
+    """
+    n, numeric, present, counts = _facts(df, times=True)
+    times = [c for c in df.columns if present[c] == counts[c] > 0]
     x = _named_first(times)
-    if sampled < 2 or x is None:
+    if n < 2 or x is None:
         return None
-    _, numeric, _ = _facts(df)
     series = [c for c in df.columns if c != x and numeric[c] > 0 and c not in times][:MAX_LINES]
     if not series:
         return None
@@ -77,7 +79,7 @@ def line(df: DataFrame) -> Shape | None:
 
 def scatter(df: DataFrame) -> Shape | None:
     """An x column and up to four numeric columns; x below 1e11 is taken as it is, else as a time."""
-    n, numeric, _ = _facts(df)
+    n, numeric, *_ = _facts(df)
     x = _named_first([c for c in df.columns if numeric[c] > 0])
     if n < 2 or x is None:
         return None
@@ -92,7 +94,7 @@ def scatter(df: DataFrame) -> Shape | None:
 
 def bar(df: DataFrame) -> Shape | None:
     """The first column without numbers as label, numeric columns as values."""
-    n, numeric, present = _facts(df)
+    n, numeric, present, _ = _facts(df)
     values = [c for c in df.columns if numeric[c] > 0]
     if n < 1 or not values:
         return None
@@ -108,7 +110,7 @@ def value_histogram(df: DataFrame, column: str | None = None) -> DataFrame:
     there are fewer than three values or they are all equal.
     """
     if column is None:
-        _, numeric, _ = _facts(df)
+        _, numeric, *_ = _facts(df)
         column = next(c for c in df.columns if numeric[c] > 0)
     values = df.select(_number(df, column).alias("v")).where(F.col("v").isNotNull())
     stats = (values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -133,7 +135,7 @@ def heat_grid(df: DataFrame, x: str, y: str, weight: str) -> DataFrame:
 
 def heat_columns(df: DataFrame) -> tuple[str, str, str] | None:
     """Time, y and weight column of a heat grid, by name and position."""
-    n, numeric, present = _facts(df)
+    n, numeric, present, _ = _facts(df)
     usable = [c for c in df.columns if numeric[c] > 0 or (
         present[c] > 0 and isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType)))]
     x = next((c for c in usable if TIME_NAME.match(c)), None)
@@ -144,7 +146,7 @@ def heat_columns(df: DataFrame) -> tuple[str, str, str] | None:
 def last_numeric(df: DataFrame, order: list[str], column: str | None = None) -> DataFrame:
     """The last number of a column (the first numeric one by default) in the given order."""
     if column is None:
-        _, numeric, _ = _facts(df)
+        _, numeric, *_ = _facts(df)
         column = next(c for c in df.columns if numeric[c] > 0)
     v = _number(df, column)
     return df.agg(F.max_by(v, F.when(v.isNotNull(), F.struct(*order))).alias("last_value"))

@@ -190,3 +190,12 @@ def test_shapes(spark):
     assert sum(r["count"] for r in hist) == 5 and len(hist) == 5
     assert shaping.value_histogram(df.limit(2), "v").count() == 0
     assert shaping.last_numeric(df, ["when_s"], "text").first()["last_value"] == 2.5
+
+
+def test_time_column_is_chosen_from_all_rows(spark):
+    # For 99 rows "time_text" reads as a time, in the last one it does not; "moment" does in all of them.
+    df = spark.createDataFrame([(f"2024-01-01 00:00:{i % 60:02d}" if i < 99 else "late", 1_700_000_000 + i, i * 1.0) for i in range(100)],
+                               "time_text string, moment long, v double").coalesce(1)
+    line = shaping.line(df)
+    assert (line.x, line.values, line.rows.count()) == ("moment", ["v"], 100)
+    assert shaping.line(df.select("time_text", "v")) is None
