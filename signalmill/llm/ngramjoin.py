@@ -8,7 +8,9 @@ bound that follows from the two sizes.
 Blocks that cannot reach a bound are never multiplied. For rows of similar size
 (bands whose sizes differ by the threshold's ratio) the columns are dealt into
 more blocks than a linked pair can have differing columns, so a linked pair
-agrees completely in at least one block that is not empty. The sum of a row's
+agrees completely in at least one block. That all such blocks are empty would hide
+the pair: the columns are dealt anew as often as it takes to make the chance of
+that, for random hashes, less than ``MISSED`` at every size. The sum of a row's
 column hashes in a block is its signature; rows that share a signature, directly
 or through others, form a group, and only groups are multiplied. A passage that
 many documents share does not make a group, for a block also holds the columns
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -43,6 +46,7 @@ from signalmill.session import materialise
 TILE = 256
 SLICE = 4096
 SPARE = 2  # blocks beyond the pigeonhole, which may be empty
+MISSED = 1e-9  # bound of the chance that a linked pair shares no signature
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -84,24 +88,54 @@ def band(size: int, threshold: float) -> int:
     return int(math.log(size) / -math.log(threshold))
 
 
-def blocks_for(group: int, threshold: float) -> int:
-    """Column blocks for a band: more than the differing columns of any linked pair of its sizes."""
+def chance_missed(group: int, percent: int, most: int, m: int) -> float:
+    """Bound, as a logarithm, of the chance that ``m`` blocks hide a linked pair of a band, of up to ``most`` differing columns.
+
+    The differing columns lie in as many blocks at most; all common ones have to fall into these.
+    """
+    d = np.arange(1, most + 1)
+    # The larger set has at least the band's smallest size; a float's error is left to the next smaller number.
+    least = max(math.ceil((percent / 100) ** (1 - group) - 1e-6), 1)
+    common = np.maximum(-(-d * percent // (100 - percent)), least)
+    return float((common * np.log(d / m)).max())
+
+
+@lru_cache(maxsize=4096)
+def dealing(group: int, threshold: float) -> tuple[int, int]:
+    """Column blocks for a band (more than the differing columns of any linked pair of its sizes), and how often columns are dealt.
+
+    Neither where no two different sets of a band's sizes can be linked.
+    """
+    percent = round(threshold * 100)
     largest = math.floor(threshold ** -(group + 1)) + 1
-    return math.floor(2 * largest * (1 - threshold) / (1 + threshold)) + 1 + SPARE
+    most = 2 * largest * (100 - percent) // (100 + percent)
+    if not most:
+        return 0, 0
+    m, bound = most + 1 + SPARE, math.log(MISSED)
+    # More blocks as long as a block has three columns in the mean, so that signatures stay rare; then more deals.
+    while 3 * (m + 1) < largest and chance_missed(group, percent, most, m) > bound:
+        m += 1
+    return m, math.ceil(bound / chance_missed(group, percent, most, m))
 
 
 def signatures(found: np.ndarray, threshold: float) -> np.ndarray:
-    """A signature for each block that is not empty, for the set's own band and, as the smaller side, for the next one."""
+    """Signatures of the blocks that are not empty, for the set's own band and, as the smaller side, for the next one."""
     if not len(found):
         return np.empty(0, np.int64)
-    own, out = band(len(found), threshold), []
+    own, out = band(len(found), threshold), [np.empty(0, np.uint64)]
     mixed = spread(found + _ODD[0])
     for group in (own, own + 1):
-        m = blocks_for(group, threshold)
-        block = (found >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)  # rises with the hash
-        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        sums = np.add.reduceat(mixed, starts)
-        out.append(spread(sums + block[starts] * _ODD[1] + np.uint64((group + 1) * int(_ODD[2]) % 2**64)))
+        m, deals = dealing(group, threshold)
+        for deal in range(deals):
+            sums, dealt = mixed, found
+            if deal:
+                dealt = spread(found + np.uint64(deal * int(_ODD[3]) % 2**64))
+                order = np.argsort(dealt)
+                sums, dealt = mixed[order], dealt[order]
+            block = (dealt >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)  # rises with the hash
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            salt = np.uint64(((group + 1) * int(_ODD[2]) + deal * int(_ODD[3])) % 2**64)
+            out.append(spread(np.add.reduceat(sums, starts) + block[starts] * _ODD[1] + salt))
     return np.concatenate(out).view(np.int64)
 
 
@@ -222,7 +256,8 @@ def join(docs: DataFrame, n: int = 3, threshold: float = 0.9, id_col: str = "doc
     members, _ = materialise(members.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")), "ngram")
     weighted = members.join(classes, "rep")  # a rep may stand for several sets when ids repeat
     sets = (rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-            .select("doc_id", full_set(F.col("text"), n).alias("f")).select("doc_id", "f.*"))
+            .select("doc_id", full_set(F.col("text"), n).alias("f")).select("doc_id", "f.*")
+            .dropDuplicates(["doc_id", "key"]))  # repeated rows are one document
     full = (weighted.join(sets, (weighted["rep"] == sets["doc_id"]) & (weighted["key"] == sets["key"]))
             .select("grp", "chunks", "chunk", "rep", "weight", "hashes"))
     tiles = full.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(

@@ -154,3 +154,20 @@ def test_tile_yields_every_linked_vector(monkeypatch):
     for visitors, residents in ((side, side), (side[:1], side[1:])):
         edges = [(v, low) for v, _, low in neardup._tile(visitors, residents, 0, 0.93)]
         assert set(roots([7, 1, 5], edges).values()) == {1}
+
+
+def test_linked_short_sets_share_a_signature():
+    rng = np.random.default_rng(5)
+    for threshold, sizes in ((0.8, (5, 4, 4)), (0.8, (9, 9, 8)), (0.8, (15, 12, 12)), (0.9, (10, 9, 9)), (0.9, (19, 19, 18))):
+        for _ in range(3000):
+            x = rng.integers(0, 2**64, sizes[0] + sizes[1] - sizes[2], np.uint64)
+            a, b = np.unique(x[:sizes[0]]), np.unique(x[sizes[0] - sizes[2]:])
+            assert len(np.intersect1d(a, b)) == sizes[2] and 100 * sizes[2] >= round(100 * threshold) * len(x)
+            assert len(np.intersect1d(ngramjoin.signatures(a, threshold), ngramjoin.signatures(b, threshold)))
+
+
+def test_repeated_rows_are_one_document(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base))] * 3 + [(2, " ".join(base[:-1] + ["x"]))] * 2 + [(3, " ".join(base))]
+    got = {(r["doc_id"], r["component_id"], r["n_links"]) for r in ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, 2), (2, 1, 2), (3, 1, 2)}
