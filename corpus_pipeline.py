@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id stays; of rows equal in id and text, one."""
-    groups = ngramjoin.join(docs, n=3, threshold=0.9)
+    groups = ngramjoin.join(docs, n=5, threshold=0.8)
     others = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(others, "doc_id", "left_anti").withColumn("_same", F.xxhash64("text"))
     return kept.dropDuplicates(["doc_id", "_same"]).select(*docs.columns)
