@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalmill.llm import chat, html, langid, licenses, mixing, neardup, ngramjoin, packing, quality, tokens
+from signalmill.llm import chat, collocations, html, langid, licenses, mixing, neardup, ngramjoin, packing, quality, tokens
 from signalmill.llm.common import table
 
 PIECES, WORDS, RANKS = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -57,9 +57,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(table(spark, sf_dir, "documents"), n=3, threshold=0.9)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000, share=100)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_license_scan, op3_chat_format, op4_html_text, op5_token_counts, op6_best_fit_packing,
-    op7_quality_rules, op8_language_id, op9_source_mix, op10_ngram_join)}
+    op7_quality_rules, op8_language_id, op9_source_mix, op10_ngram_join,
+    op11_phrase_collocations)}
 
 ORACLE = {
     "op1_near_duplicates": """
@@ -97,4 +102,27 @@ ORACLE = {
         counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
         SELECT s.doc_id, len(s.s) AS n_shingles, l.component_id, coalesce(c.n, 0) AS n_links
         FROM sets s JOIN low l ON l.id = s.doc_id LEFT JOIN counts c ON c.a = s.doc_id""",
+    "op11_phrase_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+        said AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM said GROUP BY lang),
+        places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM said),
+        grams AS (SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS m FROM places),
+        found AS (
+            SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+        parts AS (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM found WHERE m > 1),
+        cuts AS (
+            SELECT c.lang, c.m, c.phrase, c.a, c.k, x.a AS l, y.a AS r, t.n, (1000::HUGEINT * c.a * t.n) // (x.a::HUGEINT * y.a) AS score
+            FROM parts c JOIN totals t ON t.lang = c.lang
+            JOIN found x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.k], ' ')
+            JOIN found y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1 :], ' ')),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inner_ones AS (
+            SELECT DISTINCT b.lang, b.phrase FROM best b JOIN found o
+            ON o.lang = b.lang AND o.m > b.m AND o.a >= b.a AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' '))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_ones i WHERE i.lang = b.lang AND i.phrase = b.phrase)
+        QUALIFY rank <= 2000""",
 }
