@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalmill.llm import chat, collocations, html, langid, licenses, mixing, neardup, ngramjoin, packing, quality, tokens
+from signalmill.llm import chat, collocations, html, langid, licenses, mixing, neardup, negatives, ngramjoin, packing, quality, tokens
 from signalmill.llm.common import table
 
 PIECES, WORDS, RANKS = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -61,10 +61,16 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000, share=100)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_license_scan, op3_chat_format, op4_html_text, op5_token_counts, op6_best_fit_packing,
     op7_quality_rules, op8_language_id, op9_source_mix, op10_ngram_join,
-    op11_phrase_collocations)}
+    op11_phrase_collocations, op13_hard_negatives)}
 
 ORACLE = {
     "op1_near_duplicates": """
@@ -125,4 +131,21 @@ ORACLE = {
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
         FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_ones i WHERE i.lang = b.lang AND i.phrase = b.phrase)
         QUALIFY rank <= 2000""",
+    "op13_hard_negatives": """
+        WITH able AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+              AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(embedding) > 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+            FROM able a JOIN able b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+        positives AS (
+            SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+        SELECT p.anchor_id, p.other AS positive_id,
+            row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY n.score DESC, n.other)::INTEGER AS rank,
+            n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+            AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+        QUALIFY rank <= 3""",
 }
