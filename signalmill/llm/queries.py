@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalmill.llm import chat, collocations, html, langid, licenses, mixing, neardup, negatives, ngramjoin, packing, quality, tokens
+from signalmill.llm import chat, collocations, fingerprints, html, langid, licenses, mixing, neardup, negatives, ngramjoin, packing, quality, tokens
 from signalmill.llm.common import table
 
 PIECES, WORDS, RANKS = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -61,6 +61,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000, share=100)
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.next_document(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -70,7 +74,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_license_scan, op3_chat_format, op4_html_text, op5_token_counts, op6_best_fit_packing,
     op7_quality_rules, op8_language_id, op9_source_mix, op10_ngram_join,
-    op11_phrase_collocations, op13_hard_negatives)}
+    op11_phrase_collocations, op12_document_fingerprints, op13_hard_negatives)}
 
 ORACLE = {
     "op1_near_duplicates": """
