@@ -45,8 +45,8 @@ from signalmill.session import materialise
 
 TILE = 512
 DENSE = TILE * TILE // 16  # occurrences from which a tile of a chunk is counted by address
-CHUNK = 1 << 20  # words
-HELD = 6_000_000  # coordinates a task holds before it hands them on
+CHUNK = 1 << 19  # words
+HELD = 2_000_000  # coordinates a task holds before it hands them on
 HEAD_PARTS = 64  # parts in which the tile of the most frequent numbers is added up
 BROADCAST_ROWS = 1_000_000
 
@@ -82,8 +82,8 @@ class _Chunk:
         self.numbers, self.parts, self.size = _Numbers({_BREAK: 0}), [], 0
 
     def add(self, words: list[bytes]) -> None:
-        self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
-        self.parts.append(np.zeros(1, np.int64))  # a document ends
+        self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+        self.parts.append(np.zeros(1, np.int32))  # a document ends
         self.size += len(words)
 
     def row(self) -> tuple[bytes, list[bytes], list[int]]:
@@ -117,7 +117,7 @@ def _chunks(size: int):
                 chunk.add(words)
                 if chunk.size >= size:
                     yield closed(lang)
-                elif sum(c.size for c in opened.values()) >= 4 * size:  # many languages at once
+                elif sum(c.size for c in opened.values()) >= 2 * size:  # many languages at once
                     yield closed(max(opened, key=lambda x: opened[x].size))
         for lang in list(opened):
             yield closed(lang)
@@ -224,8 +224,9 @@ class Tiles:
                 self.dense[key] = found
                 self.held += TILE * TILE
         keys, counts = np.unique((left[loose] << 31) | right[loose], return_counts=True)
-        self.loose.append((keys, counts))
-        self.held += len(keys)
+        if len(keys):
+            self.loose.append((keys, counts))
+            self.held += len(keys)
 
     def combine(self) -> None:
         """Adds up coordinates that came in several times."""
@@ -242,12 +243,14 @@ class Tiles:
             yield row, column, cell, total[cell]
         for keys, counts in self.loose:
             left, right = keys >> 31, keys & ((1 << 31) - 1)
-            row, column, cell = left // TILE, right // TILE, left % TILE * TILE + right % TILE
-            order = np.lexsort((cell, column, row))
-            row, column, cell, counts = row[order], column[order], cell[order], counts[order]
-            edges = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (column[1:] != column[:-1])])) if len(row) else []
-            for at, end in zip(edges, [*edges[1:], len(row)]):
-                yield int(row[at]), int(column[at]), cell[at:end], counts[at:end]
+            place = (((left // TILE) << 22 | right // TILE) << 18) + left % TILE * TILE + right % TILE  # numbers are below 2^31
+            del left, right
+            order = np.argsort(place)
+            place, counts = place[order], counts[order]
+            tile = place >> 18
+            edges = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])).tolist()
+            for at, end in zip(edges, [*edges[1:], len(place)]):
+                yield *divmod(int(tile[at]), 1 << 22), place[at:end] & ((1 << 18) - 1), counts[at:end]
 
 
 _TILE_ROW = "lang string, row bigint, col bigint, part int, parts int, cells binary, counts binary"

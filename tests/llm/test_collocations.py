@@ -75,6 +75,10 @@ def test_dense_and_loose_tiles_count_alike():
         for c, n in zip(cells.tolist(), counts.tolist()):
             got[row * size + c // size, column * size + c % size] += n
     assert got == want and tiles.dense
+    only = collocations.Tiles()
+    for _ in range(2):  # nothing but one dense tile
+        only.add(np.zeros(100_000, np.int64))
+    assert [(r, c, x.tolist(), n.tolist()) for r, c, x, n in only.rows()] == [(0, 0, [0], [2 * 99_999])]
 
 
 def test_numbers_are_kept():
