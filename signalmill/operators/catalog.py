@@ -34,21 +34,19 @@ def service_rollup(tables: dict[str, DataFrame]) -> DataFrame:
 def stats(tables: dict[str, DataFrame]) -> DataFrame:
     """One row of totals over all signals: one aggregate per table, merged from three rows."""
     zero = F.lit(0).cast("bigint")
-
-    def part(table: str, counted: str, distinct: dict[str, str]) -> DataFrame:
-        one = tables[table].agg(
-            F.count(F.lit(1)).alias("n"), F.min(TIME_COLUMN[table]).alias("lo"), F.max(_end_column(table)).alias("hi"),
-            F.collect_set("service_name").alias("names"),
-            *[F.count_distinct(c).alias(name) for name, c in distinct.items()])
-        return one.select(*[(F.col("n") if c == counted else F.col(c) if c in distinct else zero).alias(c)
-                            for c in ("spans", "traces", "logs", "metric_points", "metrics")], "lo", "hi", "names")
-
-    rows = (part("spans", "spans", {"traces": "trace_id"}).unionByName(part("log_records", "logs", {}))
-            .unionByName(part("metric_points", "metric_points", {"metrics": "metric_name"})))
-    return rows.agg(
-        *[F.sum(c).alias(c) for c in ("spans", "traces", "logs", "metric_points", "metrics")],
-        F.size(F.array_distinct(F.flatten(F.collect_list("names")))).cast("bigint").alias("services"),
-        F.min("lo").alias("earliest_ns"), F.max("hi").alias("latest_ns"))
+    totals = ("spans", "traces", "logs", "metric_points", "metrics", "services")
+
+    def part(df: DataFrame, *time: str, **figures) -> DataFrame:
+        low, high = (F.min(time[0]), F.max(time[1])) if time else (F.lit(None).cast("bigint"),) * 2
+        one = df.agg(low.alias("lo"), high.alias("hi"), *[f.alias("_" + name) for name, f in figures.items()])
+        return one.select(*[(F.col("_" + c) if c in figures else zero).alias(c) for c in totals], "lo", "hi")
+
+    n = F.count(F.lit(1))
+    rows = (part(tables["spans"], "start_ns", "end_ns", spans=n, traces=F.count_distinct("trace_id"))
+            .unionByName(part(tables["log_records"], "time_ns", "time_ns", logs=n))
+            .unionByName(part(tables["metric_points"], "ts_ns", "ts_ns", metric_points=n, metrics=F.count_distinct("metric_name")))
+            .unionByName(part(services(tables), services=n)))
+    return rows.agg(*[F.sum(c).alias(c) for c in totals], F.min("lo").alias("earliest_ns"), F.max("hi").alias("latest_ns"))
 
 
 def services(tables: dict[str, DataFrame]) -> DataFrame:

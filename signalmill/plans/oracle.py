@@ -165,10 +165,16 @@ add("s3d_summary_points", EV, f"""SELECT {_POINT}, event_id % 9 AS summary_count
   '[{{"quantile":0.5,"value":' || (event_id % 6) || '.25}},{{"quantile":1.0,"value":"inf"}}]' AS summary_quantiles, NULL::VARCHAR AS exemplars,
   0::BIGINT AS flags FROM ev WHERE event_id % 6 = 4""")
 
+ORACLE["t1_stream_logs"], ORACLE["t1_stream_metrics"] = ORACLE["s2_flatten_logs"], ORACLE["s3_flatten_metrics"]
+
 # ------------------------------------------------------------ store and scans
 
 add("s4_append", SPANS, """SELECT strftime(make_timestamp(start_ns//1000), '%Y-%m-%d') AS event_date, count(*) AS n, sum(end_ns)::VARCHAR AS end_sum
   FROM spans GROUP BY 1""")
+for _key in ("s4_append_spans", "s4_compacted"):
+    add(_key, SPANS, "SELECT * REPLACE (NULL::VARCHAR AS parent_span_id) FROM spans")
+add("s4_append_logs", LOGS, "SELECT * FROM logs")
+add("s4_append_points", PTS, "SELECT * FROM pts")
 add("s5_reset", ALL, """SELECT * FROM (SELECT 'spans' AS table_name, 'before' AS state, count(*) AS n FROM spans UNION ALL SELECT 'log_records', 'before', count(*) FROM logs
   UNION ALL SELECT 'metric_points', 'before', count(*) FROM pts UNION ALL SELECT t, 'after', 0 FROM (VALUES ('spans'), ('log_records'), ('metric_points')) v(t))""")
 add("s6_scan_spans", SPANS, """SELECT trace_id, span_id, parent_span_id, span_name, span_kind, start_ns, end_ns, duration_ms, service_name, resource_attributes,
@@ -217,6 +223,7 @@ add("p9_time_presets", SPANS, f"SELECT span_id, start_ns FROM spans WHERE start_
 
 add("a1_trace_summary", SPANS, summary())
 add("t4_stream_traces", SPANS, summary())
+add("t4_stream_sessions", SPANS, summary())
 add("o1_newest_traces", SPANS, summary())
 add("a2_error_traces", SPANS, summary(having=ERRORS))
 add("a3_trace_total", SPANS, f"SELECT count(*) AS total FROM ({summary(having=ERRORS)})")
@@ -278,6 +285,7 @@ add("a18_profile", SPANS, " UNION ALL ".join(
 INCREASE_ROWS = "SELECT service_name, series_attributes, ts_ns, hist_count, up AS inc_hist_count FROM steps"
 add("w1_counter_increase", increases(), INCREASE_ROWS)
 add("t3_stream_increase", increases(), INCREASE_ROWS)
+add("t3_stream_increase_keyed", increases(), INCREASE_ROWS)
 add("w2_latest_per_group", PTS, f"""SELECT series_attributes, service_name, ts_ns, hist_count FROM (SELECT *, row_number() OVER (PARTITION BY series_attributes
   ORDER BY {TIE_DESC}) AS rn FROM ({OBSERVED})) WHERE rn = 1""")
 
@@ -342,6 +350,15 @@ _NEWEST = "trace_id = (SELECT arg_max(trace_id, (start_ns, trace_id)) FROM spans
 add("q2_trace_detail", SPANS, f"""SELECT trace_id, span_id, parent_span_id, span_name, start_ns, end_ns, span_attributes, events FROM spans WHERE {_NEWEST}
   ORDER BY start_ns, span_id""")
 add("q2_trace_detail_summary", SPANS, summary(_NEWEST))
+add("q2_trace_detail_stored", SPANS, f"SELECT trace_id, span_id, span_name, start_ns, end_ns, span_attributes, events FROM spans WHERE {_NEWEST}")
+add("j4_logs_of_trace_stored", LOGS, """SELECT time_ns, trace_id, span_id, body, severity_text FROM logs
+  WHERE trace_id = (SELECT arg_max(trace_id, (time_ns, trace_id)) FROM logs WHERE trace_id IS NOT NULL)""")
+add("p2_search_stored", LOGS, """SELECT time_ns, span_id, body FROM logs WHERE severity_number >= 13 AND (body ILIKE '%SE by user 1%'
+  OR log_attributes ILIKE '%SE by user 1%' OR severity_text ILIKE '%SE by user 1%' OR event_name ILIKE '%SE by user 1%')""")
+add("q7_stats_stored", ALL, """SELECT (SELECT count(*) FROM spans) AS spans, (SELECT count(*) FROM logs) AS logs, (SELECT count(*) FROM pts) AS metric_points,
+  least((SELECT min(start_ns) FROM spans), (SELECT min(time_ns) FROM logs), (SELECT min(ts_ns) FROM pts)) AS earliest_ns,
+  greatest((SELECT max(end_ns) FROM spans), (SELECT max(time_ns) FROM logs), (SELECT max(ts_ns) FROM pts)) AS latest_ns,
+  true AS traces_near, true AS metrics_near, true AS services_near""")
 _LOGQ = "severity_number >= 17 AND (body ILIKE '%user%' OR log_attributes ILIKE '%user%' OR severity_text ILIKE '%user%' OR event_name ILIKE '%user%')"
 add("q3_logs_list", LOGS, f"""SELECT time_ns, service_name, severity_text, body, trace_id, (SELECT count(*) FROM logs WHERE {_LOGQ}) AS total FROM logs WHERE {_LOGQ}
   ORDER BY time_ns DESC, service_name, body LIMIT 300""")
@@ -509,6 +526,8 @@ add("c13_span_links", EV, f"""SELECT {_TRACE} AS trace_id, {_SPAN} AS span_id, 0
 add("c14_attribute_rows", SPANS, """SELECT span_id, 'span_attributes' AS origin, unnest(['http.route', 'n']) AS key, unnest([json_extract_string(span_attributes, '$."http.route"'), span_attributes->>'$.n']) AS value
   FROM spans WHERE span_attributes IS NOT NULL UNION ALL SELECT span_id, 'resource_attributes', unnest(['service.name', 'service.instance.id']),
   unnest([service_name, json_extract_string(resource_attributes, '$."service.instance.id"')]) FROM spans""")
+add("t5_stream_all_counts", ALL, """SELECT 'spans' AS signal, count(*) AS n FROM spans UNION ALL SELECT 'log_records', count(*) FROM logs
+  UNION ALL SELECT 'metric_points', count(*) FROM pts""")
 add("t5_stream_counts", ALL, "SELECT 'spans' AS signal, count(*) AS n FROM spans UNION ALL SELECT 'log_records', count(*) FROM logs")
 for _key in ("g2_cte_chain",):
     ORACLE[_key] = ORACLE[_key].replace("FROM sp0)\n, slow", "FROM sp0), slow")

@@ -16,12 +16,12 @@ from ..functions import labels
 from ..functions.jsontext import attribute
 from ..functions.numbers import round_to
 from ..functions.timeutil import HALF_MINUTE, HOUR, bucket_start, epoch_ms, int_div
-from ..operators import catalog, counters, filters, histograms, logs as log_ops, metrics, red, shaping, traces
+from ..operators import catalog, counters, filters, histograms, logs as log_ops, metrics, red, shaping, stored, traces
 from ..operators.skew import exact_quantiles, with_previous
 from ..session import scratch_path, widen
 from ..sources import feed, store, tables
 from ..sources.envelope import FLATTEN
-from ..streaming import ingest, live
+from ..streaming import ingest, keyed, live
 from . import console, examples, panels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,28 @@ def _append(spark, sf):
             .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end_ns").cast("decimal(20,0)")).cast("string").alias("end_sum")))
 
 
+def _store_all(spark, sf):
+    """All three tables as one batch of a store."""
+    root = scratch_path(spark, "store")
+    store.append_all(dict(tables.signal_tables(spark, sf)), root)
+    return root
+
+
+for _key, _table in (("s4_append_spans", "spans"), ("s4_append_logs", "log_records"), ("s4_append_points", "metric_points")):
+    query(_key)(lambda spark, sf, t=_table: store.read_table(spark, _store_all(spark, sf), t).drop("event_date"))
+
+
+@query("s4_compacted")
+def _compacted(spark, sf):
+    """Spans appended in three batches, one of them twice, and folded into one."""
+    root, spans = scratch_path(spark, "store"), tables.spans(spark, sf)
+    for k in (0, 1, 2, 1):
+        store.append(spans.where(F.col("start_ns") % 3 == k), root, "spans", batch=f"part-{k}")
+    store.compact(spark, root, "spans")
+    store.append(spans.where(F.col("start_ns") % 3 == 2), root, "spans", batch="part-2")  # folded already: adds nothing
+    return store.read_table(spark, root, "spans").drop("event_date")
+
+
 @query("s5_reset")
 def _reset(spark, sf):
     root = _stored(spark, sf)
@@ -320,6 +342,38 @@ def _newest_trace(spans: DataFrame):
 on_spans("q2_trace_detail", lambda df: traces.trace_detail(df, _newest_trace(df)).spans.select(
     "trace_id", "span_id", "parent_span_id", "span_name", "start_ns", "end_ns", "span_attributes", "events"), parents=True)
 on_spans("q2_trace_detail_summary", lambda df: traces.trace_detail(df, _newest_trace(df)).summary)
+
+
+@query("q2_trace_detail_stored")
+def _detail_stored(spark, sf):
+    """The newest trace, from the files that the store's index names."""
+    root = _stored(spark, sf, ("spans",))
+    newest = store.read_table(spark, root, "spans").agg(F.max_by("trace_id", F.struct("start_ns", "trace_id"))).first()[0]
+    return stored.trace_detail(spark, root, newest).spans.select("trace_id", "span_id", "span_name", "start_ns", "end_ns", "span_attributes", "events")
+
+
+@query("j4_logs_of_trace_stored")
+def _logs_stored(spark, sf):
+    root = _stored(spark, sf, ("log_records",))
+    newest = store.read_table(spark, root, "log_records").where("trace_id is not null").agg(F.max_by("trace_id", F.struct("time_ns", "trace_id"))).first()[0]
+    return stored.logs_of_trace(spark, root, newest).select("time_ns", "trace_id", "span_id", "body", "severity_text")
+
+
+@query("p2_search_stored")
+def _search_stored(spark, sf):
+    return stored.search_logs(spark, _stored(spark, sf, ("log_records",)), "SE by user 1", severity="warn").select("time_ns", "span_id", "body")
+
+
+@query("q7_stats_stored")
+def _stats_stored(spark, sf):
+    """Totals from the facts of the files; distinct counts as whether they are within five percent (three standard errors)."""
+    root = _store_all(spark, sf)
+    exact = catalog.stats(store.read_tables(spark, root)).select(*[F.col(c).alias(f"exact_{c}") for c in ("traces", "metrics", "services")])
+    both = stored.approximate_stats(spark, root).withColumn("_one", F.lit(1)).join(exact.withColumn("_one", F.lit(1)), "_one")
+    near = lambda c: (F.abs(F.col(c) - F.col(f"exact_{c}")) <= 0.05 * F.col(f"exact_{c}")).alias(f"{c}_near")
+    return both.select("spans", "logs", "metric_points", "earliest_ns", "latest_ns", near("traces"), near("metrics"), near("services"))
+
+
 on_logs("q3_logs_list", lambda df: log_ops.logs_list(df, limit=300, severity="error", q="user").select(
     "time_ns", "service_name", "severity_text", "body", "trace_id", "total"))
 on_points("q4_metrics_list", lambda df: metrics.metrics_list(df, q="app", service="svc-1"))
@@ -451,6 +505,20 @@ def _ingest(spark, sf):
     return store.read_table(spark, root, "spans").drop("event_date")
 
 
+for _key, _table in (("t1_stream_logs", "log_records"), ("t1_stream_metrics", "metric_points")):
+    @query(_key)
+    def _ingest_one(spark, sf, table=_table):
+        """Requests as several files, two to a micro-batch, flattened into the store and folded there."""
+        source, root = scratch_path(spark, "requests"), scratch_path(spark, "stream")
+        feed.REQUESTS[table](widen(tables.events(spark, sf))).repartition(4).write.text(source)
+        lines = spark.readStream.option("maxFilesPerTrigger", 2).text(source)
+        _run(ingest.start_ingest(lines, root, table, scratch_path(spark, "mark")))
+        store.compact(spark, root, table)
+        found = store.read_table(spark, root, table).drop("event_date")
+        return found if table == "log_records" else found.groupBy("metric_name", "metric_type", "service_name").agg(
+            F.count(F.lit(1)).alias("points"), F.max("ts_ns").alias("last_ns"))
+
+
 @query("t2_stream_red")
 def _stream_red(spark, sf):
     path = scratch_path(spark, "red")
@@ -460,15 +528,15 @@ def _stream_red(spark, sf):
 
 @query("t3_stream_increase")
 def _stream_increase(spark, sf):
-    """The cumulative points, written out and streamed back in several micro-batches."""
+    """The cumulative points, written out and streamed back in two micro-batches with a restart between them."""
     source, path = scratch_path(spark, "points"), scratch_path(spark, "increase")
     kept = counters.observed(tables.metric_points(spark, sf), DURATION).select(
         "service_name", "resource_attributes", "series_attributes", "ts_ns", "hist_count")
-    halves = kept.agg(F.percentile_approx("ts_ns", 0.5)).first()[0]
-    for part in (F.col("ts_ns") <= halves, F.col("ts_ns") > halves):
-        kept.where(part).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    _run(live.start_increases(stream, path, scratch_path(spark, "mark")))
+    # Files of many tasks; the stream is started anew for the second half of the time.
+    half, mark = kept.agg(F.percentile_approx("ts_ns", 0.5)).first()[0], scratch_path(spark, "mark")
+    for part in (F.col("ts_ns") <= half, F.col("ts_ns") > half):
+        kept.where(part).write.mode("append").parquet(source)
+        _run(live.start_increases(spark.readStream.schema(kept.schema).parquet(source), path, mark))
     return spark.read.parquet(f"{path}/rows").select("service_name", "series_attributes", "ts_ns", "hist_count", "inc_hist_count")
 
 
@@ -479,6 +547,45 @@ def _stream_traces(spark, sf):
     return live.merge_summaries(live.latest(spark, path, ["trace_id", "window_start"]))
 
 
+@query("t3_stream_increase_keyed")
+def _stream_keyed(spark, sf):
+    """The cumulative points, dealt into files out of order, through keyed state with a restart."""
+    source, path, mark = (scratch_path(spark, n) for n in ("points", "increase", "mark"))
+    kept = counters.observed(tables.metric_points(spark, sf), DURATION).select(
+        "service_name", "resource_attributes", "series_attributes", "ts_ns", "hist_count")
+    for k in (0, 1):
+        kept.where(F.pmod(F.xxhash64("ts_ns", "series_attributes"), F.lit(2)) == k).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(kept.schema).parquet(source)
+        _run(keyed.start_keyed_increases(stream, path, mark, late_ns=400 * 24 * HOUR))
+    return keyed.increases(spark, path).select("service_name", "series_attributes", "ts_ns", "hist_count", "inc_hist_count")
+
+
+@query("t4_stream_sessions")
+def _stream_sessions(spark, sf):
+    """Trace summaries by session of a day without spans, closed by a span of a later time."""
+    source, path, mark = (scratch_path(spark, n) for n in ("spans", "sessions", "mark"))
+    spans = tables.spans(spark, sf)
+    later = F.lit(2_000_000_000_000_000_000).cast("bigint")
+    closing = spans.limit(1).withColumns({"trace_id": F.lit(""), "start_ns": later, "end_ns": later})
+    for part in (spans, closing):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(spans.schema).parquet(source)
+        _run(live.write_versions(keyed.session_summaries(stream, "1 day"), path, mark, mode="append"))
+    return live.latest(spark, path, ["trace_id", "start_ns"])
+
+
+@query("t5_stream_all_counts")
+def _stream_all_counts(spark, sf):
+    """Rows of all three signals; metric points come as a stream of stored files."""
+    source, path = scratch_path(spark, "points"), scratch_path(spark, "counts")
+    points = tables.metric_points(spark, sf)
+    points.select("metric_name", "ts_ns").write.parquet(source)
+    signals = {"spans": tables.spans_from(_event_stream(spark, sf)), "log_records": tables.logs_from(_event_stream(spark, sf)),
+               "metric_points": spark.readStream.schema("metric_name string, ts_ns bigint").parquet(source)}
+    _run(live.write_versions(live.signal_counts(signals), path, scratch_path(spark, "mark"), mode="complete"))
+    return live.latest(spark, path, ["signal"])
+
+
 @query("t5_stream_counts")
 def _stream_counts(spark, sf):
     path = scratch_path(spark, "counts")

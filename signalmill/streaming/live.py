@@ -2,12 +2,14 @@
 
 Results that change while they grow are written as versions: every micro-batch
 adds a folder with the rows it changed, and ``latest`` keeps the newest version
-of each key. A repeated micro-batch overwrites its own folder, so a restart
-leaves no duplicates.
+of each key. A manifest lists the folders, so readers see a micro-batch whole or
+not at all; a repeated one replaces its own folder, so a restart leaves no
+duplicates. ``fold`` leaves one folder with the newest versions.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,27 +18,89 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.timeutil import HALF_MINUTE, NS_PER_S, ns_to_timestamp
 from ..operators.counters import SERIES, counter_increase, point_order
 from ..operators.red import error_share_column, rate_column
+from ..sources import manifest
+from ..sources.manifest import Entry
 
 BATCH = "batch_id"
 
 
+VERSIONS = "versions"
+
+
 def write_versions(changes: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
                    mode: str = "update") -> StreamingQuery:
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        put_version(batch, path, batch_id)
 
     return (changes.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest version of every key."""
-    rows = spark.read.parquet(path)
+def _write_version(rows: DataFrame, path: str, batch_id: int) -> str:
+    folder = f"{VERSIONS}/{BATCH}={batch_id}/attempt={uuid.uuid4().hex[:12]}"
+    rows.write.mode("overwrite").parquet(f"{path}/{folder}")
+    return folder
+
+
+def put_version(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Adds the rows that a micro-batch changed, or puts them in place of what it wrote before."""
+    name = f"v-{batch_id}"
+    fresh = Entry(VERSIONS, name, _write_version(rows, path, batch_id))
+
+    def change(entries: list[Entry]) -> list[Entry] | None:
+        if any(e.stands_for(name) for e in entries):
+            return None  # folded already
+        return [e for e in entries if e.batch != name] + [fresh]
+
+    manifest.commit(rows.sparkSession, path, change)
+
+
+def _versions(spark: SparkSession, path: str, entries: list[Entry]) -> DataFrame:
+    read = spark.read.option("basePath", f"{path}/{VERSIONS}").parquet(*[f"{path}/{e.path}" for e in entries])
+    return read.drop("attempt").withColumn(BATCH, F.col(BATCH).cast("bigint"))
+
+
+def _newest(rows: DataFrame, keys: list[str]) -> DataFrame:
     values = [c for c in rows.columns if c not in (*keys, BATCH)]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), BATCH).alias("_v"))
     return newest.select(*keys, "_v.*")
 
 
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest version of every key, as of now."""
+    now = manifest.snapshot(spark, path)
+    if now is None or not now.entries:
+        raise ValueError(f"no micro-batch has been committed below {path}")
+    return _newest(_versions(spark, path, list(now.entries)), keys)
+
+
+def all_versions(spark: SparkSession, path: str) -> DataFrame:
+    """Every row that was written, with the number of its micro-batch."""
+    now = manifest.snapshot(spark, path)
+    return _versions(spark, path, list(now.entries) if now else [])
+
+
+def fold(spark: SparkSession, path: str, keys: list[str], least: int = 2) -> int:
+    """Folds all versions into one folder with the newest of each key; gives the number of folders folded.
+
+    Readers that have begun keep the old folders until ``manifest.vacuum``; where the stream replaces one of them meanwhile, the
+    folding gives way.
+    """
+    now = manifest.snapshot(spark, path)
+    old = list(now.entries) if now else []
+    if len(old) < least:
+        return 0
+    folded, names = manifest.fold_names(old)
+    newest = max(int(e.path.split("/")[1].removeprefix(f"{BATCH}=")) for e in old)
+    made = Entry(VERSIONS, f"c-{uuid.uuid4().hex}x", _write_version(_newest(_versions(spark, path, old), keys), path, newest),
+                 folded=folded, names=names)
+
+    def change(entries: list[Entry]) -> list[Entry] | None:
+        return [e for e in entries if e not in old] + [made] if all(e in entries for e in old) else None
+
+    return len(old) if made in manifest.commit(spark, path, change).entries else 0
+
+
 def span_red(spans: DataFrame, width_ns: int = HALF_MINUTE, late: str = "10 minutes") -> DataFrame:
     """Rate and error share per tumbling window; spans later than ``late`` are dropped."""
     timed = spans.withColumn("_at", ns_to_timestamp(F.col("start_ns"))).withWatermark("_at", late)
