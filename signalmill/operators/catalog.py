@@ -112,6 +112,35 @@ def profile(df: DataFrame) -> DataFrame:
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
+def summarize(df: DataFrame, accuracy: int = 100_000) -> DataFrame:
+    """One row per column, all from one aggregate: least, largest, distinct count, mean, deviation, quartiles, rows, share of NULL.
+
+    Quartiles are values of the column, from sketches that add up over partitions: their rank is off by at most a share of
+    ``1 / accuracy`` of the rows; those of whole numbers beyond 2^53 are rounded as doubles are. The distinct count is off by five percent (standard error). Mean and deviation of whole numbers
+    are taken from exact sums. NaN counts as a number above all others, as it sorts.
+    """
+    aggregates, rows = [F.count(F.lit(1)).alias("n")], []
+    for i, field in enumerate(df.schema.fields):
+        c, kind = F.col(f"`{field.name}`"), field.dataType
+        numeric = isinstance(kind, T.NumericType)
+        plain = not isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
+        none = F.lit(None).cast("double")
+        mean = F.avg(c.cast("decimal(38,6)")).cast("double") if isinstance(kind, T.IntegralType) else F.avg(c).cast("double") if numeric else none
+        aggregates += [
+            (F.min(c).cast("string") if plain else F.lit(None).cast("string")).alias(f"min{i}"),
+            (F.max(c).cast("string") if plain else F.lit(None).cast("string")).alias(f"max{i}"),
+            (F.approx_count_distinct(c) if plain else F.lit(None).cast("bigint")).alias(f"distinct{i}"), F.count(c).alias(f"count{i}"),
+            mean.alias(f"avg{i}"), (F.stddev_samp(c) if numeric else none).alias(f"std{i}"),
+            (F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy).cast("array<string>") if numeric
+             else F.lit(None).cast("array<string>")).alias(f"q{i}")]
+        rows.append(F.struct(
+            F.lit(i + 1).alias("ordinal"), F.lit(field.name).alias("column_name"), F.lit(kind.simpleString()).alias("column_type"),
+            F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"), F.col(f"distinct{i}").alias("approx_unique"),
+            F.col(f"avg{i}").alias("avg"), F.col(f"std{i}").alias("std"), *[F.col(f"q{i}")[k].alias(q) for k, q in enumerate(("q25", "q50", "q75"))],
+            F.col("n").alias("count"), F.try_divide((F.col("n") - F.col(f"count{i}")) * 100.0, F.col("n")).alias("null_percentage")))
+    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+
+
 def attribute_options(tables: dict[str, DataFrame], table: str, key: str, resource: bool = False) -> DataFrame:
     """Sorted distinct non-empty values of an attribute, for an input's drop-down list."""
     column = "resource_attributes" if resource else _ATTRIBUTES[table]

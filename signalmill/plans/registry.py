@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from ..functions import labels
+from ..functions import labels, variants
 from ..functions.jsontext import attribute
 from ..functions.numbers import round_to
 from ..functions.timeutil import HALF_MINUTE, HOUR, bucket_start, epoch_ms, int_div
@@ -232,6 +232,36 @@ on_spans("a9_distinct_list", lambda df: df.groupBy("trace_id").agg(F.array_sort(
 on_spans("a10_count_distinct", lambda df: df.groupBy("span_name").agg(F.count_distinct("trace_id").alias("traces")))
 
 
+def _digits(c: Column) -> Column:
+    """Six digits of a figure, whatever its size."""
+    return F.when(c != 0, F.round(c / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c)))), 6)).otherwise(c)
+
+
+@query("a18_summarize")
+def _summarize(spark, sf):
+    """The whole profile of the spans; distinct counts as whether they are within fifteen percent (three standard errors)."""
+    spans = tables.spans(spark, sf)
+    exact = spans.agg(*[F.count_distinct(f"`{c}`").alias(c) for c in spans.columns]).select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("_exact")) for c in spans.columns])))
+    found = catalog.summarize(spans).join(exact, "column_name")
+    near = (F.abs(F.col("approx_unique") - F.col("_exact")) <= 0.15 * F.col("_exact")).alias("unique_near")
+    quartiles = [_digits(F.col(q).cast("double")).alias(q) for q in ("q25", "q50", "q75")]
+    return found.select("column_name", near, _digits(F.col("avg")).alias("avg"), _digits(F.col("std")).alias("std"), *quartiles, "count",
+                        F.round("null_percentage", 6).alias("null_percentage"))
+
+
+@query("f11_json_values")
+def _json_values(spark, sf):
+    """Body, attributes and broken text of the logs as values: their kind and what stands in them."""
+    logs = tables.log_records(spark, sf).select("time_ns", "span_id", "body", "log_attributes", F.col("log_attributes").substr(1, 5).alias("broken"),
+                                                F.concat(F.lit('{"a.b":{"c":[1,'), F.col("log_attributes"), F.lit("]}}")).alias("nested"))
+    values = logs.select("time_ns", "span_id", *[variants.parse_or_keep(F.col(c)).alias(c) for c in ("body", "log_attributes", "broken", "nested")])
+    return values.select(
+        "time_ns", "span_id", *[variants.kind(F.col(c)).alias(f"{c}_kind") for c in ("body", "log_attributes", "broken", "nested")],
+        variants.text_at(F.col("body")).alias("body_text"), variants.text_at(F.col("log_attributes"), "k").alias("k"),
+        variants.text_at(F.col("broken")).alias("broken_text"), variants.text_at(F.col("nested"), "a.b", "c", 1, "k").alias("inner_k"))
+
+
 def _by_name_and_total(points: DataFrame) -> DataFrame:
     rises = counters.counter_increase(counters.observed(points, DURATION))
     per = rises.groupBy(attribute(F.col("series_attributes"), "name").alias("name")).agg(F.sum("inc_hist_count").alias("n"))
