@@ -252,15 +252,19 @@ TIE = "ts_ns, service_name, resource_attributes"
 TIE_DESC = "ts_ns DESC, service_name DESC, resource_attributes DESC"
 
 
-def rise(column: str) -> str:
-    """Growth since the point before; a first point and a fall count 0."""
-    return f"CASE WHEN {column} > lag({column}) OVER w THEN {column} - lag({column}) OVER w ELSE 0 END"
+def numbered(keys: str, order: str, where: str = "true") -> str:
+    """Adds ``numbered``: the observed points with their place in the series, and ``pairs``, each point with the one before it."""
+    same = " AND ".join(f"p.{k.strip()} IS NOT DISTINCT FROM q.{k.strip()}" for k in keys.split(","))
+    return f"""{PTS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS place FROM ({OBSERVED} AND {where})),
+  pairs AS (SELECT q.*, p.place AS place_before, p.ts_ns AS ts_before, p.hist_count AS count_before, p.hist_sum AS sum_before
+  FROM numbered q LEFT JOIN numbered p ON {same} AND p.place + 1 = q.place)"""
 
 
 def increases(where: str = "true") -> str:
-    """Adds ``steps``: the observed points with the growth of count (``up``) and sum (``up_sum``)."""
-    return f"""{PTS}, steps AS (SELECT *, {rise('hist_count')} AS up, {rise('hist_sum')} AS up_sum FROM ({OBSERVED} AND {where})
-  WINDOW w AS (PARTITION BY series_attributes ORDER BY {TIE}, hist_count))"""
+    """Adds ``steps``: the observed points with the growth of count (``up``) and sum (``up_sum``), 0 without a smaller point before."""
+    grown = lambda c, before: f"CASE WHEN {c} > {before} THEN {c} - {before} ELSE 0 END"
+    return numbered("series_attributes", f"{TIE}, hist_count", where) + f""", steps AS (
+  SELECT *, {grown('hist_count', 'count_before')} AS up, {grown('hist_sum', 'sum_before')} AS up_sum FROM pairs)"""
 
 
 NAME = """json_extract_string(series_attributes, '$."name"')"""
@@ -334,7 +338,8 @@ def percentiles(keys: str = "") -> str:
 
 
 def heat(where: str = "true") -> tuple[str, str]:
-    return snapshots(where), "SELECT ts, unnest([0.0::DOUBLE] || edges) AS y, unnest(counts) AS weight FROM newest"
+    return snapshots(where), """SELECT ts, CASE i WHEN 1 THEN 0.0::DOUBLE ELSE edges[i - 1] END AS y, counts[i] AS weight
+  FROM (SELECT *, unnest(range(1, len(counts) + 1)) AS i FROM newest)"""
 
 
 P95_OPEN = "SELECT ts, CASE WHEN bool_or(closed AND share >= 0.95) THEN round(min(edge) FILTER (share >= 0.95), 3) END AS p95_s FROM shares GROUP BY ts"
@@ -418,7 +423,9 @@ def rate(where: str = "true") -> tuple[str, str]:
 
 
 def total(where: str = "true") -> tuple[str, str]:
-    return increases(where), "SELECT sum(up)::BIGINT AS requests FROM steps"
+    # A series' counts as one sorted list: what each entry has more than the one before it.
+    return PTS, f"""SELECT sum(list_sum(list_transform(range(2, len(l) + 1), lambda i: greatest(l[i] - l[i - 1], 0))))::BIGINT AS requests
+  FROM (SELECT list(hist_count ORDER BY {TIE}, hist_count) AS l FROM ({OBSERVED} AND {where}) GROUP BY series_attributes)"""
 
 
 def by_endpoint(where: str = "true") -> tuple[str, str]:
@@ -460,9 +467,9 @@ add("h5_increase_by_error", *by_error())
 add("h6_endpoint_stats", *endpoints())
 add("h7_rate_delta", PTS, f"""SELECT {bucket('ts_ns', HOUR_US)} AS ts, round(sum((2*hist_count::HUGEINT*10000000000000000000 + ts_ns-start_ns)//(2*(ts_ns-start_ns)))/1e10, 4) AS rps, sum(hist_count)::BIGINT AS requests
   FROM pts WHERE metric_name = 'app.duration.delta' AND hist_count > 0 GROUP BY 1""")
-add("h7_rate_cumulative", PTS, f"""SELECT {bucket('ts_ns', HOUR_US)} AS ts, round(sum((2*n::HUGEINT*10000000000000000000 + span)//(2*span))/1e10, 4) AS rps, sum(n)::BIGINT AS requests FROM (
-  SELECT ts_ns, greatest(hist_count - lag(hist_count) OVER w, 0) AS n, ts_ns - lag(ts_ns) OVER w AS span FROM ({OBSERVED})
-  WINDOW w AS (PARTITION BY series_attributes, service_name, resource_attributes ORDER BY ts_ns)) WHERE span IS NOT NULL GROUP BY 1""")
+add("h7_rate_cumulative", numbered("series_attributes, service_name, resource_attributes", "ts_ns"), f"""SELECT {bucket('ts_ns', HOUR_US)} AS ts,
+  round(sum((2*n::HUGEINT*10000000000000000000 + span)//(2*span))/1e10, 4) AS rps, sum(n)::BIGINT AS requests FROM (
+  SELECT ts_ns, greatest(hist_count - count_before, 0) AS n, ts_ns - ts_before AS span FROM pairs WHERE place > 1) GROUP BY 1""")
 add("h8_gauge_series", *gauge())
 add("e9_users_over_time", *gauge("users"))
 add("h8_gauge_latest", *gauge_latest())
