@@ -99,10 +99,21 @@ def series_points(points: DataFrame, metric: str, **where) -> DataFrame:
                        point_value(kept).alias("v"), "ts_ns", "resource_attributes")
 
 
-def series_wide(points: DataFrame, metric: str, keys: list[str], **where) -> DataFrame:
-    """One column per series over sorted times; the caller names the series, so the width is known."""
+def series_wide(points: DataFrame, metric: str, keys: list[str], rest: str | None = None, **where) -> DataFrame:
+    """One column per series over sorted times; the caller names the series, so the width is known.
+
+    With ``rest`` a column of that name counts the points of each time whose series is not among ``keys``; without it their
+    times are rows all the same, their values are in no column.
+    """
+    found = series_points(points, metric, **where)
     first = F.min_by("v", F.struct("resource_attributes", "v"))
-    return (series_points(points, metric, **where).groupBy("t_ms").pivot("series", keys).agg(first).orderBy("t_ms"))
+    wide = found.groupBy("t_ms").pivot("series", keys).agg(first)
+    if rest is not None:
+        if rest in keys:
+            raise ValueError(f"{rest} is the name of a series")
+        others = found.groupBy("t_ms").agg(F.count_if(~F.coalesce(F.col("series").isin(keys), F.lit(False))).alias(rest))
+        wide = wide.join(others, "t_ms")  # both are grouped by time: one shuffle each, none for the join
+    return wide.orderBy("t_ms")
 
 
 def last_point(points: DataFrame, metric: str, **where) -> DataFrame:

@@ -25,6 +25,7 @@ class Shape(NamedTuple):
     x: str
     values: list[str]
     rows: DataFrame
+    left_out: list[str] = []  # columns that could be values too, beyond the number asked for
 
 
 def _col(df: DataFrame, name: str) -> Column:
@@ -60,36 +61,38 @@ def _named_first(columns: list[str]) -> str | None:
     return next((c for c in columns if TIME_NAME.match(c)), columns[0] if columns else None)
 
 
-def line(df: DataFrame) -> Shape | None:
-    """A time column and up to eight numeric columns that are not times themselves, in time order.
+def line(df: DataFrame, most: int | None = MAX_LINES) -> Shape | None:
+    """A time column and up to ``most`` (None: all) numeric columns that are not times themselves, in time order.
 
-    In a time column every value that is not NULL reads as a time.
+    In a time column every value that is not NULL reads as a time. One aggregate over the input decides; it is not read again.
     """
     n, numeric, present, counts = _facts(df, times=True)
     times = [c for c in df.columns if present[c] == counts[c] > 0]
     x = _named_first(times)
     if n < 2 or x is None:
         return None
-    series = [c for c in df.columns if c != x and numeric[c] > 0 and c not in times][:MAX_LINES]
-    if not series:
+    found = [c for c in df.columns if c != x and numeric[c] > 0 and c not in times]
+    series = found[:most]
+    if not series or counts[x] < 2:
         return None
     rows = df.select(_time(df, x).alias("x"), *[_number(df, c).alias(c) for c in series]).where(F.col("x").isNotNull())
-    return Shape(x, series, rows.orderBy("x")) if len(rows.take(2)) == 2 else None
+    return Shape(x, series, rows.orderBy("x"), found[len(series):])
 
 
-def scatter(df: DataFrame) -> Shape | None:
-    """An x column and up to four numeric columns; x below 1e11 is taken as it is, else as a time."""
+def scatter(df: DataFrame, most: int | None = MAX_SCATTER) -> Shape | None:
+    """An x column and up to ``most`` (None: all) numeric columns; x below 1e11 is taken as it is, else as a time."""
     n, numeric, *_ = _facts(df)
     x = _named_first([c for c in df.columns if numeric[c] > 0])
     if n < 2 or x is None:
         return None
-    ys = [c for c in df.columns if c != x and numeric[c] > 0][:MAX_SCATTER]
+    found = [c for c in df.columns if c != x and numeric[c] > 0]
+    ys = found[:most]
     if not ys:
         return None
     raw = _number(df, x)
     at = F.when(raw < 1e11, raw).otherwise(_time(df, x))
     rows = df.select(at.alias("x"), *[_number(df, c).alias(c) for c in ys]).where(F.col("x").isNotNull())
-    return Shape(x, ys, rows) if len(rows.take(2)) == 2 else None
+    return Shape(x, ys, rows, found[len(ys):]) if len(rows.take(2)) == 2 else None
 
 
 def bar(df: DataFrame) -> Shape | None:
