@@ -311,7 +311,6 @@ add("f11_json_values", LOGS + """, texts AS (SELECT time_ns, span_id, body, log_
 INCREASE_ROWS = "SELECT service_name, series_attributes, ts_ns, hist_count, up AS inc_hist_count FROM steps"
 add("w1_counter_increase", increases(), INCREASE_ROWS)
 add("t3_stream_increase", increases(), INCREASE_ROWS)
-add("t3_stream_increase_keyed", increases(), INCREASE_ROWS)
 add("w2_latest_per_group", PTS, f"""SELECT series_attributes, service_name, ts_ns, hist_count FROM (SELECT *, row_number() OVER (PARTITION BY series_attributes
   ORDER BY {TIE_DESC}) AS rn FROM ({OBSERVED})) WHERE rn = 1""")
 

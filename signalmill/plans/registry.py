@@ -577,19 +577,6 @@ def _stream_traces(spark, sf):
     return live.merge_summaries(live.latest(spark, path, ["trace_id", "window_start"]))
 
 
-@query("t3_stream_increase_keyed")
-def _stream_keyed(spark, sf):
-    """The cumulative points, dealt into files out of order, through keyed state with a restart."""
-    source, path, mark = (scratch_path(spark, n) for n in ("points", "increase", "mark"))
-    kept = counters.observed(tables.metric_points(spark, sf), DURATION).select(
-        "service_name", "resource_attributes", "series_attributes", "ts_ns", "hist_count")
-    for k in (0, 1):
-        kept.where(F.pmod(F.xxhash64("ts_ns", "series_attributes"), F.lit(2)) == k).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(kept.schema).parquet(source)
-        _run(keyed.start_keyed_increases(stream, path, mark, late_ns=400 * 24 * HOUR))
-    return keyed.increases(spark, path).select("service_name", "series_attributes", "ts_ns", "hist_count", "inc_hist_count")
-
-
 @query("t4_stream_sessions")
 def _stream_sessions(spark, sf):
     """Trace summaries by session of a day without spans, closed by a span of a later time."""

@@ -1,157 +1,14 @@
-"""Streams with state per key: counter increases that bear late points, and trace summaries by session.
+"""Trace summaries by session, with state per trace.
 
-``start_keyed_increases`` keeps the last points of every series in state, as far
-back as ``late_ns``. A point that arrives out of order inside that range is put
-in its place: it gets its increase, and the point after it a corrected one. Both
-are written as versions of their rows, so what ``increases`` reads always equals
-the batch operator over all points that were not too late. A point that is older
-goes to a side table with the reason, and changes nothing. State of a series that
-has been silent for ``idle`` goes by its time to live.
-
-The points of one micro-batch of one series are one task's work, in order of
-time; what is kept of them is bounded by ``late_ns``. Where a single series is
-most of the stream and in order, ``live.start_increases`` spreads it.
-
-``session_summaries`` closes a trace when no span of it has come for a while,
-by Spark's session windows: a trace across midnight is one row, and needs no
-merge.
+A trace is closed when no span of it has come for a while, by Spark's session
+windows: a trace across midnight is one row, and needs no merge.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
-
-from ..functions.timeutil import NS_PER_S, ns_to_timestamp
-from ..operators.counters import SERIES
-from .live import all_versions, latest, put_version
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-POINT = ("ts_ns", "service_name", "resource_attributes")
-HOUR_NS = 3600 * NS_PER_S
-
-
-class Increases(StatefulProcessor):
-    """Rises of ``values`` since the point before in time order, with the recent points of the series in state.
-
-    Input and output rows are pandas frames; output has, beside the input's columns, ``seq`` (which of several equal points),
-    ``inc_<v>`` for each value and ``too_late``.
-    """
-
-    def __init__(self, series_keys: tuple[str, ...], values: tuple[str, ...], kinds: tuple[str, ...], late_ns: int, idle_ms: int | None):
-        self.series_keys, self.values, self.kinds, self.late_ns, self.idle_ms = series_keys, values, kinds, late_ns, idle_ms
-
-    def init(self, handle) -> None:
-        kind = "ts_ns bigint, service_name string, resource_attributes string, " + ", ".join(f"{v} {k}" for v, k in zip(self.values, self.kinds))
-        ttl = {"ttlDurationMs": self.idle_ms} if self.idle_ms else {}
-        self.recent = handle.getListState("recent", kind, **ttl)  # in order; the first one may be older than the range
-        self.newest = handle.getValueState("newest", "ts_ns bigint", **ttl)
-
-    @staticmethod
-    def _order(point: tuple) -> tuple:
-        """Time order with NULLs first, as Spark sorts."""
-        return tuple((v is not None, v) if v is not None else (False, 0) for v in point)
-
-    def _rise(self, before: tuple | None, now: tuple) -> list:
-        out = []
-        for a, b in zip(before[3:] if before else [None] * len(self.values), now[3:]):
-            # greatest() skips NULL: without a predecessor, or after a fall, the rise is 0.
-            out.append(max(b - a, type(b)(0)) if a is not None and b is not None else 0)
-        return out
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = [*POINT, *self.values]
-        fresh = []
-        for frame in rows:
-            columns = [[None if pd.isna(x) else x for x in frame[n].astype(object)] for n in names]
-            fresh += [tuple(v.item() if hasattr(v, "item") else v for v in r) for r in zip(*columns)]
-        fresh.sort(key=self._order)
-        known = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        limit = None if newest is None else newest - self.late_ns
-        keys = [self._order(p) for p in known]
-        touched: set[int] = set()
-        late = []
-        for point in fresh:
-            if limit is not None and point[0] < limit:
-                late.append(point)
-                continue
-            order = self._order(point)
-            at = bisect_right(keys, order)
-            touched = {t + (t >= at) for t in touched}
-            known.insert(at, point)
-            keys.insert(at, order)
-            touched |= {at} | ({at + 1} if at + 1 < len(known) else set())
-        out = []
-        for at in sorted(touched):
-            seq = at - bisect_left(keys, keys[at])
-            out.append((*key, *known[at], seq, *self._rise(known[at - 1] if at else None, known[at]), False))
-        out += [(*key, *p, 0, *[None] * len(self.values), True) for p in late]
-        if known:
-            newest = max(known[-1][0], newest if newest is not None else known[-1][0])
-            first = next(k for k, p in enumerate(known) if p[0] >= newest - self.late_ns)
-            # One point before the range stays, as the predecessor of the first in it; equal ones with it, for their numbers.
-            first = bisect_left(keys, keys[first - 1]) if first else 0
-            self.recent.put(known[first:])
-            self.newest.update((newest,))
-        columns = [*self.series_keys, *names, "seq", *[f"inc_{v}" for v in self.values], "too_late"]
-        yield pd.DataFrame(out, columns=columns).astype({"seq": "int64", "too_late": bool} | {
-            f"inc_{v}": "Int64" if k == "bigint" else "float64" for v, k in zip(self.values, self.kinds)})
-
-    def close(self) -> None:
-        pass
-
-
-def start_keyed_increases(points: DataFrame, path: str, checkpoint: str, series_keys: tuple[str, ...] = SERIES,
-                          values: tuple[str, ...] = ("hist_count",), late_ns: int = HOUR_NS, idle: float | None = 7 * 86400,
-                          trigger: dict | None = None) -> StreamingQuery:
-    """Continuous ``counter_increase`` for points in any order, up to ``late_ns`` behind the newest of their series.
-
-    ``idle`` is in seconds of processing time.
-    """
-    spark = points.sparkSession
-    kinds = tuple(points.schema[v].dataType.simpleString() for v in values)
-    if set(kinds) - {"bigint", "double"}:
-        raise ValueError("values must be bigint or double")
-    processor = Increases(series_keys, values, kinds, late_ns, int(idle * 1000) if idle else None)
-    fields = [points.schema[c] for c in (*series_keys, *POINT, *values)]
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField("seq", T.LongType())]
-                          + [T.StructField(f"inc_{v}", points.schema[v].dataType) for v in values] + [T.StructField("too_late", T.BooleanType())])
-    rises = points.select(*[f.name for f in fields]).groupBy(*series_keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Update", timeMode="ProcessingTime")
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            put_version(batch.where(~F.col("too_late")).drop("too_late"), f"{path}/rows", batch_id)
-            put_version(batch.where("too_late").select(*[f.name for f in fields], F.lit(late_ns).alias("late_ns")), f"{path}/late", batch_id)
-        finally:
-            batch.unpersist()
-
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)  # read once, when the stream starts
-    try:
-        return (rises.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
-                .trigger(**(trigger or {"availableNow": True})).start())
-    finally:
-        spark.conf.set(PROVIDER, before)
-
-
-def increases(spark: SparkSession, path: str, series_keys: tuple[str, ...] = SERIES, values: tuple[str, ...] = ("hist_count",)) -> DataFrame:
-    """The points so far with their increase."""
-    return latest(spark, f"{path}/rows", [*series_keys, *POINT, *values, "seq"]).drop("seq")
-
+from pyspark.sql import DataFrame, functions as F
 
-def late_points(spark: SparkSession, path: str) -> DataFrame:
-    """Points that came too late to count, once for each time they came."""
-    return all_versions(spark, f"{path}/late")
+from ..functions.timeutil import ns_to_timestamp
 
 
 def session_summaries(spans: DataFrame, gap: str = "1 hour", late: str = "10 minutes") -> DataFrame:

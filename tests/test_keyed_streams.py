@@ -1,72 +1,11 @@
-"""Streams with keyed state: points out of order and late, restarts, sessions across midnight."""
+"""Trace sessions across midnight."""
 
-import random
-
-import pytest
 from pyspark.sql import Window, functions as F
 
 from conftest import rows
-from signalmill.operators import counters, traces
+from signalmill.operators import traces
 from signalmill.sources import tables
 from signalmill.streaming import keyed, live
-from test_edges import points, S
-
-COLUMNS = ["service_name", "resource_attributes", "series_attributes", "ts_ns", "hist_count"]
-OUT = [*COLUMNS, "inc_hist_count"]
-
-
-def run(spark, batches, path, late_ns, per_trigger=1):
-    """Feeds each list of points as a file and starts the stream anew after every two."""
-    source = f"{path}/src"
-    for k, batch in enumerate(batches):
-        points(spark, *batch).select(*COLUMNS).coalesce(1).write.mode("append").parquet(source)
-        if k % 2 or k == len(batches) - 1:
-            schema = points(spark, *batch).select(*COLUMNS).schema
-            lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(source)
-            keyed.start_keyed_increases(lines, f"{path}/out", f"{path}/mark", late_ns=late_ns).awaitTermination()
-
-
-@pytest.fixture(autouse=True)
-def few_partitions(spark):
-    """Each partition of state starts a worker of its own."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
-    yield
-    spark.conf.set("spark.sql.shuffle.partitions", before)
-
-
-def given(n):
-    return [{"ts_ns": t * 60 * S, "hist_count": (t * 5) % 37 + t, "series_attributes": f'{{"name":"{t % 3}"}}'} for t in range(n)]
-
-
-def test_points_out_of_order_equal_the_batch(spark, tmp_path):
-    rng = random.Random(3)
-    all_points = given(80) + given(80)[10:14]  # some points twice
-    shuffled = sorted(all_points, key=lambda p: p["ts_ns"] + rng.randrange(0, 40 * 60) * S)
-    batches = [shuffled[k:k + 28] for k in range(0, len(shuffled), 28)]
-    assert len(batches) == 3
-    run(spark, batches, str(tmp_path), late_ns=3600 * S)
-    got = keyed.increases(spark, str(tmp_path / "out")).select(*OUT)
-    assert rows(got) == rows(counters.counter_increase(points(spark, *all_points).select(*COLUMNS)).select(*OUT))
-    assert keyed.late_points(spark, str(tmp_path / "out")).count() == 0
-    assert live.fold(spark, str(tmp_path / "out/rows"), ["series_attributes", *keyed.POINT, "hist_count", "seq"]) == 3
-    assert rows(keyed.increases(spark, str(tmp_path / "out")).select(*OUT)) == rows(got)
-
-
-def test_late_points_go_to_the_side_table_and_change_nothing(spark, tmp_path):
-    first, second = given(30), given(60)[30:]
-    late = [{**p, "hist_count": 9_999} for p in first[3:6]]
-    run(spark, [first, second, late], str(tmp_path), late_ns=600 * S)
-    got = keyed.increases(spark, str(tmp_path / "out")).select(*OUT)
-    assert rows(got) == rows(counters.counter_increase(points(spark, *first, *second).select(*COLUMNS)).select(*OUT))
-    side = keyed.late_points(spark, str(tmp_path / "out"))
-    assert rows(side.select("ts_ns", "hist_count")) == rows(points(spark, *late).select("ts_ns", "hist_count"))
-
-
-def test_only_some_value_kinds(spark, tmp_path):
-    stream = spark.readStream.schema("ts_ns bigint, service_name string, resource_attributes string, series_attributes string, hist_count string")
-    with pytest.raises(ValueError):
-        keyed.start_keyed_increases(stream.parquet(str(tmp_path)), "x", "y")
 
 
 def test_sessions_across_midnight_equal_the_summary(spark, small, tmp_path):

@@ -83,7 +83,7 @@ def test_flattening_uses_python_for_nested_values_only(spark):
 
 
 SLOW = {"c6_waterfall", "t1_stream_ingest", "t2_stream_red", "t3_stream_increase", "t4_stream_traces", "t5_stream_counts", "s4_append",
-        "s5_reset", "s10_table_stats", "t1_stream_logs", "t1_stream_metrics", "t3_stream_increase_keyed", "t4_stream_sessions",
+        "s5_reset", "s10_table_stats", "t1_stream_logs", "t1_stream_metrics", "t4_stream_sessions",
         "t5_stream_all_counts"}  # streams: what is left of them is a scan of their result
 
 
