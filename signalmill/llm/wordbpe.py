@@ -4,10 +4,11 @@ The tokenizer's own library spends most of its time on bookkeeping (offsets,
 alignments). Where a text allows, its pieces are marked in numpy and merged by
 tiktoken instead, from the same merges; any other text goes to the library whole.
 
-Each piece is written with one character per byte: the bytes before the last in
-one range, the last one in another, which stands for the end-of-word suffix. The
-pieces then end by themselves and are split by one pattern. The characters are
-the first merges; the tokenizer's follow in their order.
+Each distinct piece is merged once and its ids are kept (up to a bound); a text is
+its pieces' ids put together. A piece is written with one character per byte: the
+bytes before the last in one range, the last one in another, which stands for the
+end-of-word suffix. The characters are the first merges; the tokenizer's follow in
+their order.
 
 tiktoken merges by the token that results, the tokenizer by the pair. Both give
 the same ids if every token, taken alone, merges into itself: the merges inside
@@ -25,6 +26,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from signalmill.llm.common import Memo
+
 # The normalizer and the splitting this module reproduces.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -92,6 +95,7 @@ class WordTokens:
         self.marked = [t["content"] for t in spec["added_tokens"]]
         self.merger = self._merger(spec)
         self.kind = kinds()
+        self.known = Memo(200_000)
         self.inner = np.array([ord(inner(b)) for b in range(256)], "<u2")
         self.final = np.array([ord(final(b)) for b in range(256)], "<u2")
 
@@ -118,6 +122,7 @@ class WordTokens:
             return None
         ranks = {bytes([b]): b for b in range(256)}
         self.ids_of = np.zeros(768 + len(merges), "<u4")
+        self.closed = np.zeros(768 + len(merges), bool)
         for b, name in names.items():
             for place, (coded, token) in enumerate(((inner(b), name), (final(b), name + suffix))):
                 if name in upper:
@@ -125,6 +130,7 @@ class WordTokens:
                 key = coded.encode()
                 at = ranks.setdefault(key, 256 * (place + 1) + b)
                 self.ids_of[at] = vocab[token]
+                self.closed[at] = place
         for k, (a, b) in enumerate(merges):
             token = a + b
             closed = token.endswith(suffix)
@@ -137,10 +143,11 @@ class WordTokens:
             coded = "".join(inner(byte[c]) for c in body[:-1]) + (final if closed else inner)(byte[body[-1]])
             ranks[coded.encode()] = 768 + k
             self.ids_of[768 + k] = vocab[token]
+            self.closed[768 + k] = closed
         return tiktoken.Encoding("words", pat_str=f"[^{_ENDS}]*[{_ENDS}]", mergeable_ranks=ranks, special_tokens={})
 
-    def _marked_pieces(self, text: str) -> str | None:
-        """The text's pieces, one character per byte; None where the library has to do it."""
+    def _marked_pieces(self, text: str) -> list[bytes] | None:
+        """The text's pieces as bytes; None where the library has to do it."""
         if self.merger is None or any(m in text for m in self.marked):
             return None
         if not text.isascii():
@@ -170,17 +177,34 @@ class WordTokens:
         words = kind != SPACE
         ends = ends[words]
         if not len(ends):
-            return ""
+            return []
         if np.diff(np.flatnonzero(ends), prepend=-1).max() > LONGEST:
             return None
         raw = raw[words]
-        return np.where(ends, self.final[raw], self.inner[raw]).tobytes().decode("utf-16-le")
+        parted = np.full(len(raw) + int(ends.sum()), 0xFF, np.uint8)  # a byte that UTF-8 never has
+        parted[np.arange(len(raw)) + np.cumsum(ends) - ends] = raw
+        return parted.tobytes().split(b"\xff")[:-1]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Merges pieces, all in one call, and keeps their ids. A piece ends with the only token that has the suffix."""
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        coded, last = self.inner[raw], np.cumsum([len(w) for w in words]) - 1
+        coded[last] = self.final[raw[last]]
+        tokens = self.merger.encode_to_numpy(coded.tobytes().decode("utf-16-le"))
+        ids, at = self.ids_of[tokens].tobytes(), 0
+        for word, end in zip(words, ((np.flatnonzero(self.closed[tokens]) + 1) * 4).tolist()):
+            self.known[word] = ids[at:end]
+            at = end
 
     def ids(self, text: str) -> bytes:
-        pieces = self._marked_pieces(text)
-        if pieces is None:
+        words = self._marked_pieces(text)
+        if words is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.ids_of[self.merger.encode_to_numpy(pieces)].tobytes() if pieces else b""
+        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
+        if fresh:
+            self.known.room()
+            self._learn(fresh if self.known else list(dict.fromkeys(words)))
+        return b"".join(map(self.known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
