@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: ASCII white space: the bytes at which ``bytes.split()`` splits.
@@ -11,6 +9,18 @@ SPACE = " \t\n\x0b\x0c\r"
 BETWEEN_WORDS = r"[\x20\x09-\x0D]+"
 
 
+ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` from now on in this session: each running task holds several copies of one."""
+    spark = df.sparkSession
+    now = spark.conf.get(ARROW).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(ARROW, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,4 +63,6 @@ def lines_with_words(text: str) -> list[str]:
     return [x for x in text.split("\n") if x.strip(SPACE)]
 
 
-LETTER = re.compile(r"[^\W\d_]")
+def has_letter(text: str) -> bool:
+    """Whether a character is of a letter category; number signs such as ½ or Ⅷ are not."""
+    return any(map(str.isalpha, text))

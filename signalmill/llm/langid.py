@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalmill.llm.common import LETTER, plain
+from signalmill.llm.common import bounded_batches, has_letter, plain
 
 WINDOW, WIDTHS, FILTERS, EMBED, SPREAD = 128, (2, 3, 4), 16, 8, 3
 BATCH_WINDOWS = 2048
@@ -136,7 +136,7 @@ def predict(net: Network, tables: list, texts: list[str | None]) -> list[tuple[s
         chunks.clear()
 
     for i, t in enumerate(texts):
-        if not net.languages or t is None or not LETTER.search(t):
+        if not net.languages or t is None or not has_letter(t):
             continue
         w = windows_of(t)
         chunks.append(w)
@@ -164,6 +164,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     Only counts per language (``max_languages`` rows at most) and the sample's
     windows reach the driver.
     """
+    bounded_batches(docs)
     # A NULL id has no fold; such a row is left out of training.
     known = docs.select(plain(id_col).cast("string").alias("id"), plain(lang_col).cast("string").alias("lang"),
                         plain(text_col).cast("string").alias("text"), (~held_out(id_col)).alias("mine"))

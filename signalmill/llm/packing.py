@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalmill.llm.common import plain, text_of
+from signalmill.llm.common import bounded_batches, plain, text_of
 from signalmill.llm.wordbpe import word_tokens
 from signalmill.session import materialise
 
@@ -123,6 +123,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int
          text_col: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. Other columns are not kept."""
     spark = docs.sparkSession
+    bounded_batches(docs)
     rows = docs.select(plain(id_col).cast("bigint").alias("doc_id"),
                        pieces_of(text_of(plain(text_col)), tokenizer_file, capacity, end_id).alias("p"))
     rows, counts = ranked(rows.select("doc_id", F.inline("p")))
