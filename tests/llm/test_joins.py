@@ -3,6 +3,8 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
@@ -156,14 +158,94 @@ def test_tile_yields_every_linked_vector(monkeypatch):
         assert set(roots([7, 1, 5], edges).values()) == {1}
 
 
-def test_linked_short_sets_share_a_signature():
+def test_linked_sets_share_a_prefix():
     rng = np.random.default_rng(5)
-    for threshold, sizes in ((0.8, (5, 4, 4)), (0.8, (9, 9, 8)), (0.8, (15, 12, 12)), (0.9, (10, 9, 9)), (0.9, (19, 19, 18))):
-        for _ in range(3000):
-            x = rng.integers(0, 2**64, sizes[0] + sizes[1] - sizes[2], np.uint64)
-            a, b = np.unique(x[:sizes[0]]), np.unique(x[sizes[0] - sizes[2]:])
-            assert len(np.intersect1d(a, b)) == sizes[2] and 100 * sizes[2] >= round(100 * threshold) * len(x)
-            assert len(np.intersect1d(ngramjoin.signatures(a, threshold), ngramjoin.signatures(b, threshold)))
+    for percent, (x, y, both) in ((80, (5, 4, 4)), (80, (9, 9, 8)), (80, (15, 12, 12)), (90, (10, 9, 9)), (90, (19, 19, 18)), (100, (7, 7, 7))):
+        for _ in range(500):
+            g = rng.integers(0, 2**64, x + y - both, np.uint64)
+            a, b = np.unique(g[:x]), np.unique(g[x - both:])
+            assert len(np.intersect1d(a, b)) == both and 100 * both >= percent * len(g)
+            hashes = np.unique(rng.choice(g, len(g) // 2))
+            rank = rng.integers(1, 255, len(hashes)).astype(np.uint8)
+            assert len(np.intersect1d(ngramjoin.prefix(a, percent, hashes, rank), ngramjoin.prefix(b, percent, hashes, rank)))
+    assert len(ngramjoin.prefix(np.empty(0, np.uint64), 90, hashes, rank)) == 0
+
+
+def test_product_against_plain_overlaps(monkeypatch):
+    monkeypatch.setattr(ngramjoin, "SLICE", 7)  # many slices, in which pairs are discarded
+    rng = np.random.default_rng(11)
+    for percent in (50, 80, 90):
+        pool = [rng.integers(0, 2**64, n, np.uint64) for n in (30, 31, 60, 100)]
+        made = [np.unique(np.concatenate([p[rng.random(len(p)) < 0.95], rng.integers(0, 2**64, rng.integers(0, 6), np.uint64)]))
+                for p in pool for _ in range(9)] + [np.array([5], np.uint64)]
+        left, right = made[::2], made[1::2]
+        for x, y in ((left, right), (left, left), (left[:1], right)):
+            want = np.array([[100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) for b in y] for a in x])
+            assert (ngramjoin.linked_pairs(x, y, percent) == want).all()
+
+
+def copies(seed):
+    """Documents of several lengths with copies of every degree, a large group of near copies, and lines that all share."""
+    rng = np.random.default_rng(seed)
+    word = lambda: f"w{rng.integers(0, 4000)}"
+    shared, rows = [word() for _ in range(40)], []
+    for size in (1, 2, 4, 6, 10, 25, 60, 150, 400):
+        for _ in range(4):
+            base = [word() for _ in range(size)] + (shared if rng.random() < 0.5 else [])
+            for changes in (0, 1, 1, 2, size // 30, size // 12):
+                new = list(base)
+                for at in rng.integers(0, len(new), changes):
+                    new[at] = word()
+                rows.append(" ".join(new))
+    hot = [word() for _ in range(120)]
+    rows += [" ".join([word()] + hot[k % 2:]) for k in range(150)]
+    rows += [" ".join(hot * 400 + [word()]) for _ in range(2)]  # very long
+    return [(k, t) for k, t in enumerate(rng.permutation(rows).tolist())]
+
+
+def plain_join(rows, n, percent):
+    sets = {}
+    for i, text in rows:
+        w = text.encode().lower().split()
+        sets[i] = frozenset(tuple(w[k:k + n]) for k in range(max(len(w) - n + 1, 1))) if w else frozenset()
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[:k]
+             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    counts = defaultdict(int)
+    for e in links:
+        for x in e:
+            counts[x] += 1
+    low = roots(ids, links)
+    return {(i, len(sets[i]), low[i], counts[i]) for i in ids}
+
+
+def test_rows_of_one_ngram_are_connected(monkeypatch):
+    rng = np.random.default_rng(6)
+    for percent in (80, 90):
+        base = rng.integers(0, 2**64, 400, np.uint64)
+        sets = {k: np.unique(np.concatenate([base[k % 7:], rng.integers(0, 2**64, 3, np.uint64)])) for k in range(1, 40)}
+        sets |= {100 + k: np.unique(rng.integers(0, 2**64, 400, np.uint64)) for k in range(40)}
+        rows = sorted((g, len(s), k) for k, s in sets.items() for g in (5, 9))
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[2] for r in part]), pa.array([r[1] for r in part]),
+                                               pa.array([ngramjoin.sketch(sets[r[2]]) for r in part], pa.binary())], ["gram", "rep", "size", "sketch"])
+                   for part in (rows[:30], rows[30:31], rows[31:])]
+        for hot in (1024, 4):
+            monkeypatch.setattr(ngramjoin, "HOT", hot)
+            edges = [e for b in ngramjoin._connected(percent)(iter(batches)) for e in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+            found = roots(sets, edges)
+            assert all(found[k] == 1 for k in range(1, 40))
+            assert hot < 1024 or all(found[k] == k for k in range(100, 140))
+
+
+@pytest.mark.parametrize("seed, n, percent, tile", [(1, 3, 90, 1024), (2, 5, 80, 16)])
+def test_join_of_copies(spark, monkeypatch, seed, n, percent, tile):
+    monkeypatch.setattr(ngramjoin, "TILE", tile)
+    if tile < 1024:
+        monkeypatch.setattr(ngramjoin, "TILE_BYTES", 20_000)
+    rows = copies(seed)
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, size int, grp int, slot int").repartition(5)
+    got = ngramjoin.join(docs, n=n, threshold=percent / 100).collect()
+    assert {tuple(r) for r in got} == plain_join(rows, n, percent) and len(got) == len(rows)
 
 
 def test_repeated_rows_are_one_document(spark):
