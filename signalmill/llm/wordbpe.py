@@ -1,8 +1,13 @@
 """Token ids of whole texts for a tokenizer of lower-cased words with an end-of-word suffix.
 
 The tokenizer's own library spends most of its time on bookkeeping (offsets,
-alignments). Where a text allows, its pieces are marked in numpy and merged by
-tiktoken instead, from the same merges; any other text goes to the library whole.
+alignments). Here a batch of texts is split at ASCII white space, which no piece
+and no composed character spans, and each word that differs is done once per
+batch: Arrow numbers the words, and puts their ids together again. Nothing is
+kept from batch to batch.
+
+Where a word allows, its pieces are marked in numpy and merged by tiktoken, from
+the same merges; any other word goes to the library, which is loaded for the first.
 
 Each piece is written with one character per byte: the bytes before the last in
 one range, the last one in another, which stands for the end-of-word suffix. The
@@ -21,9 +26,11 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # The normalizer and the splitting this module reproduces.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -34,6 +41,7 @@ SHORT, LONG = "stmd", ("re", "ve", "ll")
 
 SPACE, LETTER, NUMBER, OTHER, FOREIGN = range(5)
 LONGEST = 1000  # bytes of a piece; merging takes the square of them
+AT_ONCE = 1 << 15  # words marked at once, so that the arrays stay in the caches
 _ENDS = "A-Z0-9\u0080-ÿʀ-˿"
 
 
@@ -46,6 +54,9 @@ def kinds() -> np.ndarray:
             out[c] = {"L": LETTER, "N": NUMBER}.get(category[0], OTHER)
     out[list(WHITE)] = SPACE
     out[0x3A3] = FOREIGN  # the capital sigma: Python lowers it by its place in the word
+    for c in np.flatnonzero(out != FOREIGN).tolist():  # some letters lower into other scripts' ranges
+        if any(ord(x) > 0xFFFF or out[ord(x)] == FOREIGN for x in chr(c).lower()):
+            out[c] = FOREIGN
     return out
 
 
@@ -79,14 +90,15 @@ def reachable(symbols: list[str], rank: dict[tuple[str, str], int]) -> bool:
     return True
 
 
+def blanked(text: str, lines: set[int]) -> str:
+    return "\n".join("" if k in lines else line for k, line in enumerate(text.split("\n")))
+
+
 class WordTokens:
     """Token ids of texts as little-endian bytes."""
 
     def __init__(self, tokenizer_file: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.file = tokenizer_file
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
         self.marked = [t["content"] for t in spec["added_tokens"]]
@@ -95,6 +107,13 @@ class WordTokens:
         self.inner = np.array([ord(inner(b)) for b in range(256)], "<u2")
         self.final = np.array([ord(final(b)) for b in range(256)], "<u2")
 
+    @cached_property
+    def tokenizer(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
+
     def _merger(self, spec: dict):
         """The tokenizer's merges for tiktoken, or None where the tokenizer is of another kind."""
         import tiktoken
@@ -106,7 +125,9 @@ class WordTokens:
                  and (spec["normalizer"] or {}).get("normalizers") == NORMALIZERS
                  and [s.get("type") for s in splits] == ["Split", "ByteLevel"]
                  and splits[0]["pattern"] == {"Regex": PATTERN} and splits[0]["invert"] and splits[0]["behavior"] == "Removed"
-                 and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"])
+                 and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
+                 and not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+                 and not any(set(m) & set(" \t\n\x0b\x0c\r") for m in self.marked))
         if not known:
             return None
         vocab, names = model["vocab"], byte_names()
@@ -118,6 +139,7 @@ class WordTokens:
             return None
         ranks = {bytes([b]): b for b in range(256)}
         self.ids_of = np.zeros(768 + len(merges), "<u4")
+        self.closed = np.zeros(768 + len(merges), bool)  # tokens with the suffix: each ends a piece
         for b, name in names.items():
             for place, (coded, token) in enumerate(((inner(b), name), (final(b), name + suffix))):
                 if name in upper:
@@ -125,6 +147,7 @@ class WordTokens:
                 key = coded.encode()
                 at = ranks.setdefault(key, 256 * (place + 1) + b)
                 self.ids_of[at] = vocab[token]
+                self.closed[at] = place
         for k, (a, b) in enumerate(merges):
             token = a + b
             closed = token.endswith(suffix)
@@ -137,16 +160,23 @@ class WordTokens:
             coded = "".join(inner(byte[c]) for c in body[:-1]) + (final if closed else inner)(byte[body[-1]])
             ranks[coded.encode()] = 768 + k
             self.ids_of[768 + k] = vocab[token]
+            self.closed[768 + k] = closed
         return tiktoken.Encoding("words", pat_str=f"[^{_ENDS}]*[{_ENDS}]", mergeable_ranks=ranks, special_tokens={})
 
-    def _marked_pieces(self, text: str) -> str | None:
-        """The text's pieces, one character per byte; None where the library has to do it."""
-        if self.merger is None or any(m in text for m in self.marked):
-            return None
+    def _coded(self, whole: str) -> tuple[str, np.ndarray, set[int]]:
+        """The text's pieces, one character per byte, how many each line has, and the lines that the library has to do (0 pieces)."""
+        text, refused = whole, set()
+        for m in self.marked:
+            if m in text:
+                refused.update(k for k, line in enumerate(text.split("\n")) if m in line)
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-            if ord(max(text)) > 0xFFFF or (self.kind[np.frombuffer(text.encode("utf-16-le"), "<u2")] == FOREIGN).any():
-                return None
+            units = np.frombuffer(text.encode("utf-16-le"), "<u2")
+            foreign = np.flatnonzero(self.kind[units] == FOREIGN)
+            if len(foreign):
+                refused.update(np.searchsorted(np.flatnonzero(units == 10), foreign).tolist())
+        if refused:
+            text = blanked(text, refused)
         text = text.lower()
         kind = self.kind[np.frombuffer(text.encode("utf-16-le"), "<u2")]
         ends = np.empty(len(kind), bool)
@@ -164,23 +194,58 @@ class WordTokens:
         raw = np.frombuffer(text.encode(), np.uint8)
         if len(raw) > len(kind):  # from characters to bytes
             first = (raw & 0xC0) != 0x80
-            char = np.cumsum(first) - 1
+            char = np.cumsum(first, dtype=np.int32) - 1
             kind, ends = kind[char], ends[char]
             ends[:-1] &= first[1:]
         words = kind != SPACE
-        ends = ends[words]
-        if not len(ends):
-            return ""
-        if np.diff(np.flatnonzero(ends), prepend=-1).max() > LONGEST:
-            return None
-        raw = raw[words]
-        return np.where(ends, self.final[raw], self.inner[raw]).tobytes().decode("utf-16-le")
+        last, lines = np.flatnonzero(ends & words), np.flatnonzero(raw == 10)
+        sizes = np.diff(np.cumsum(words, dtype=np.int32)[last], prepend=0)
+        if len(last) and sizes.max() > LONGEST:
+            refused.update(np.searchsorted(lines, last[sizes > LONGEST]).tolist())
+            return *self._coded(blanked(whole, refused))[:2], refused
+        counts = np.diff(np.searchsorted(last, lines), prepend=0, append=len(last))
+        ends, raw = ends[words], raw[words]
+        return np.where(ends, self.final[raw], self.inner[raw]).tobytes().decode("utf-16-le"), counts, refused
+
+    def _marked_pieces(self, text: str) -> str | None:
+        """The text's pieces, one character per byte; None where the library has to do a part of it."""
+        pieces, _, refused = ("", None, True) if self.merger is None else self._coded(text)
+        return None if refused else pieces
+
+    def _by_library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _ids_of_words(self, words: pa.Array) -> pa.Array:
+        """The ids of each word; words hold no ASCII white space."""
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar("\n", words.type))[0].as_py()
+        pieces, counts, refused = self._coded(text)
+        tokens = self.merger.encode_to_numpy(pieces) if pieces else np.zeros(0, np.uint32)
+        after = np.append(0, np.flatnonzero(self.closed[tokens]) + 1)  # tokens up to the end of each piece
+        borders = 4 * after[np.append(0, np.cumsum(counts))]
+        ids = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(borders), pa.py_buffer(self.ids_of[tokens])])
+        if refused:
+            place, refused, lines = np.arange(len(words)), sorted(refused), text.split("\n")
+            place[refused] = len(words) + np.arange(len(refused))
+            ids = pa.concat_arrays([ids, pa.array([self._by_library(lines[k]) for k in refused], ids.type)]).take(pa.array(place))
+        return ids
+
+    def batch(self, texts: pa.Array) -> list[memoryview]:
+        """The ids of each text."""
+        if self.merger is None:
+            return [memoryview(self._by_library(t)) for t in texts.to_pylist()]
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        known, chunks = words.dictionary, [pa.array([], pa.large_binary())]
+        for at in range(0, len(known), AT_ONCE):
+            chunks.append(self._ids_of_words(known.slice(at, AT_ONCE)))
+        ids = pa.concat_arrays(chunks).take(words.indices)
+        _, borders, data = ids.buffers()
+        borders = np.frombuffer(borders, "<i8")[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+        data = memoryview(data or b"")
+        return [data[a:b] for a, b in zip(borders, borders[1:])]
 
     def ids(self, text: str) -> bytes:
-        pieces = self._marked_pieces(text)
-        if pieces is None:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.ids_of[self.merger.encode_to_numpy(pieces)].tobytes() if pieces else b""
+        return self.batch(pa.array([text]))[0].tobytes()
 
 
 @lru_cache(maxsize=2)
