@@ -44,7 +44,7 @@ def pieces_of(text: Column, tokenizer_file: str, capacity: int, end_id: int = 0)
     def cut(texts: pa.Array) -> pa.Array:
         end, out = np.array([end_id], "<u4").tobytes(), []
         for t in word_tokens(tokenizer_file).batch(texts):
-            ids = t.tobytes() + end
+            ids = t + end
             out.append([{"piece": k, "start": at // 4, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)}
                         for k, at in enumerate(range(0, len(ids), 4 * capacity)) for p in [ids[at:at + 4 * capacity]]])
         return pa.array(out, _KIND)

@@ -1,10 +1,10 @@
 """Token ids of whole texts for a tokenizer of lower-cased words with an end-of-word suffix.
 
 The tokenizer's own library spends most of its time on bookkeeping (offsets,
-alignments). Here a batch of texts is split at ASCII white space, which no piece
-and no composed character spans, and each word that differs is done once per
-batch: Arrow numbers the words, and puts their ids together again. Nothing is
-kept from batch to batch.
+alignments). Here texts are split at ASCII white space, which no piece and no
+composed character spans, and each word that differs is done once in some
+megabytes of text: Arrow numbers the words, and puts their ids together again.
+No word is kept for the next megabytes.
 
 Where a word allows, its pieces are marked in numpy and merged by tiktoken, from
 the same merges; any other word goes to the library, which is loaded for the first.
@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -41,7 +42,8 @@ SHORT, LONG = "stmd", ("re", "ve", "ll")
 
 SPACE, LETTER, NUMBER, OTHER, FOREIGN = range(5)
 LONGEST = 1000  # bytes of a piece; merging takes the square of them
-AT_ONCE = 1 << 15  # words marked at once, so that the arrays stay in the caches
+SHARED_BYTES = 1 << 20  # text whose words are done together; a worker holds several arrays of that order
+AT_ONCE = 1 << 15  # words marked at once
 _ENDS = "A-Z0-9\u0080-ÿʀ-˿"
 
 
@@ -229,10 +231,8 @@ class WordTokens:
             ids = pa.concat_arrays([ids, pa.array([self._by_library(lines[k]) for k in refused], ids.type)]).take(pa.array(place))
         return ids
 
-    def batch(self, texts: pa.Array) -> list[memoryview]:
-        """The ids of each text."""
-        if self.merger is None:
-            return [memoryview(self._by_library(t)) for t in texts.to_pylist()]
+    def _ids_of_texts(self, texts: pa.Array) -> tuple[pa.Buffer | None, list[int]]:
+        """The ids of all texts one after the other, and the places between the texts."""
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
         known, chunks = words.dictionary, [pa.array([], pa.large_binary())]
@@ -240,12 +240,23 @@ class WordTokens:
             chunks.append(self._ids_of_words(known.slice(at, AT_ONCE)))
         ids = pa.concat_arrays(chunks).take(words.indices)
         _, borders, data = ids.buffers()
-        borders = np.frombuffer(borders, "<i8")[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
-        data = memoryview(data or b"")
-        return [data[a:b] for a, b in zip(borders, borders[1:])]
+        return data, np.frombuffer(borders, "<i8")[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+
+    def batch(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text."""
+        if self.merger is None:
+            yield from map(self._by_library, texts.to_pylist())
+            return
+        sizes, at = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64), 0
+        while at < len(texts):  # a text at least
+            after = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SHARED_BYTES, "right")))
+            data, borders = self._ids_of_texts(texts.slice(at, after - at))
+            yield from (data[a:b].to_pybytes() if a < b else b"" for a, b in zip(borders, borders[1:]))
+            at, data = after, None
+        pa.default_memory_pool().release_unused()
 
     def ids(self, text: str) -> bytes:
-        return self.batch(pa.array([text]))[0].tobytes()
+        return next(self.batch(pa.array([text])))
 
 
 @lru_cache(maxsize=2)
