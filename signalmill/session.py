@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -54,17 +56,35 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/signalmill/{label}-{uuid.uuid4().hex}"
 
 
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it ends, not when the driver happens to collect its garbage."""
+    was = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, was)
+
+
 def materialise(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Cuts the lineage of iterative operators; the files outlive any executor.
-    ``counts`` are aggregates taken from the rows while they are written.
+    Cuts the lineage of iterative operators; the files outlive any executor, and
+    the shuffles that led to them are removed. ``counts`` are aggregates taken from the rows while they are written.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     seen = Observation()
     observed = df.observe(seen, *[c.alias(name) for name, c in counts.items()]) if counts else df
-    observed.write.parquet(path)
+    with passing_shuffles(spark):
+        observed.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), (seen.get if counts else {})
 
 
