@@ -10,12 +10,12 @@ ones last. A linked partner shares at least ``ceil(t * size)`` n-grams, so it
 shares one of the first ``size - ceil(t * size) + 1``: only these are shuffled,
 by n-gram. Rows that meet in an n-gram are connected when their sizes allow a
 link and their sketches are near: ``SKETCH`` bits, each of which differs for a
-linked pair with a chance of at most ``(1 - t) / 2``. As many may differ as leave
-a chance below ``MISSED`` that a linked pair is not connected. Without the
-sketches, texts that share one n-gram by chance would grow into large blocks. In
-an n-gram of more than ``HOT`` rows neighbours by size are connected without
-regard to sketches; rows between two linked ones have sizes in between, so the
-chain joins them. What is connected is a block of the matrix. The order is a
+linked pair with a chance of at most ``(1 - t) / 2``, on its own, however few
+n-grams a set has. As many may differ as leave a chance below ``MISSED`` that a
+linked pair is not connected. Without the sketches, texts that share one n-gram
+by chance would grow into large blocks. In an n-gram of more than ``HOT`` rows
+neighbours by size are connected without regard to sketches; rows between two
+linked ones have sizes in between, so the chain joins them. What is connected is a block of the matrix. The order is a
 matter of cost only: n-grams that many documents share (up to ``COMMON`` of
 them, counted over all documents) come last.
 
@@ -26,7 +26,9 @@ are multiplied in tiles on many tasks, a slice of columns at a time. Overlaps ad
 up; after each slice, pairs that cannot reach their bound with the columns left
 are discarded, and rows without such pairs are left out of the product. A tile
 gives each row its number of links and the smallest row it is connected to inside
-the tile, never the pairs.
+the tile, never the pairs. Where the tiles together hold more than half of all
+n-grams, they are done in rounds of about so much, so that the disk they take
+does not grow with the square of a block.
 
 Words are what stands between ASCII white space, A-Z in lower case. NULL texts,
 and texts without words, have the empty set and link with nothing; a text of
@@ -41,7 +43,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import groupby
+from functools import reduce
+from itertools import combinations_with_replacement, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +63,10 @@ SEEN = 1_000_000  # n-grams of a task that are counted together
 OFTEN = 8  # documents of those that make an n-gram a candidate for COMMON
 SKETCH = 128
 MISSED = 1e-10  # bound of the chance that a linked pair's sketches differ in more bits than allowed
-HOT = 1024  # rows of an n-gram that are compared with each other
+HOT = 8192  # rows of an n-gram that are compared with each other
+PART = 1024  # of these, at once
+ROUND = 1 << 25  # n-grams in the tiles of a round, if that is more than half of all
+_MIXERS = np.random.default_rng(SKETCH).integers(0, 1 << 32, SKETCH, np.uint64).astype(np.uint32) | np.uint32(1)
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -142,13 +148,12 @@ def prefix(found: np.ndarray, percent: int, hashes: np.ndarray, rank: np.ndarray
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """One bit of the least n-gram, in another order, of each of ``SKETCH`` parts; 0 for empty parts."""
-    mixed = np.sort(spread(found + _ODD[2]))
-    part = (mixed >> np.uint64(57)).astype(np.int64)  # SKETCH is 2^7
-    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
-    bits = np.zeros(SKETCH, np.uint8)
-    bits[part[first]] = (mixed[first] >> np.uint64(5)) & np.uint64(1)
-    return np.packbits(bits).tobytes()
+    """One bit of the least n-gram in each of ``SKETCH`` orders; the orders have nothing in common, so neither have the bits."""
+    mixed = (found >> np.uint64(32)).astype(np.uint32)
+    least = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(mixed), 4096):
+        np.minimum(least, (_MIXERS[:, None] * mixed[None, at:at + 4096]).min(1), out=least)
+    return np.packbits((least >> np.uint32(8)).astype(np.uint8) & np.uint8(1)).tobytes()
 
 
 def may_differ(percent: int) -> int:
@@ -171,11 +176,14 @@ def _connected(percent: int):
         return zip(reps[:-1][near].tolist(), reps[1:][near].tolist())
 
     def edges(reps: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, int]]:
-        bits = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
-        near = (bits <= allowed) & (np.minimum(sizes[:, None], sizes[None]) * 100 >= np.maximum(sizes[:, None], sizes[None]) * percent)
-        near &= reps[:, None] != reps[None]
-        if near.any():
-            yield from ((low, node) for node, low in forest(near, reps, reps).items() if node != low)
+        for a, b in combinations_with_replacement([slice(at, at + PART) for at in range(0, len(reps), PART)], 2):
+            if sizes[a][-1] * 100 < sizes[b][0] * percent:  # sorted by size
+                continue
+            bits = np.bitwise_count(prints[a][:, None] ^ prints[b][None]).sum(2)
+            least, most = (f(sizes[a][:, None], sizes[b][None]) for f in (np.minimum, np.maximum))
+            near = (bits <= allowed) & (least * 100 >= most * percent) & (reps[a][:, None] != reps[b][None])
+            if near.any():
+                yield from ((low, node) for node, low in forest(near, reps[a], reps[b]).items() if node != low)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -343,6 +351,16 @@ def dealt(members: DataFrame, percent: int) -> DataFrame:
     return tiled.withColumns({"i": F.least("slot", "_other"), "j": F.greatest("slot", "_other")})
 
 
+def _linked(texts: DataFrame, tiles: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links and roots that some of the tiles give."""
+    # By sorting at every size: the table of tiles grows with the documents, so it is not for broadcasting.
+    seated = texts.join(tiles.hint("merge"), ["rep", "print"])
+    order = ["grp", "i", "j", "slot", "rep", "print"]
+    linked, _ = materialise(seated.select(*order, "weight", "text").repartition("grp", "i", "j").sortWithinPartitions(*order)
+                            .mapInArrow(_tiles(n, percent), "rep bigint, links bigint, root bigint"), "ngram")
+    return linked
+
+
 def join(docs: DataFrame, n: int = 3, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, n_links``. Other columns are not kept.
 
@@ -355,7 +373,8 @@ def join(docs: DataFrame, n: int = 3, threshold: float = 0.9, id_col: str = "doc
     rows = docs.select(plain(id_col).cast("bigint").alias("doc_id"), text_of(plain(text_col)).alias("text"))
     common = common_grams(rows, n)
     rows = rows.withColumn("print", F.xxhash64("text"))  # which of several rows with one id
-    shaped, _ = materialise(rows.select("doc_id", "print", shape(F.col("text"), n, percent, common).alias("s")).select("doc_id", "print", "s.*"), "ngram")
+    shaped, seen = materialise(rows.select("doc_id", "print", shape(F.col("text"), n, percent, common).alias("s")).select("doc_id", "print", "s.*"),
+                               "ngram", size=F.sum("size"))
     found = shaped.where("size > 0 and doc_id is not null")
     classes, _ = materialise(found.groupBy("key").agg(
         F.min(F.struct("doc_id", "print")).alias("_first"), F.count_distinct("doc_id").alias("weight"), F.first("size").alias("size")).select(
@@ -368,12 +387,13 @@ def join(docs: DataFrame, n: int = 3, threshold: float = 0.9, id_col: str = "doc
     members = groups.select(F.col("node").alias("rep"), F.col("component").alias("grp"))
     members = members.unionByName(members.select(F.col("grp").alias("rep"), "grp").distinct())
     weighted = members.join(classes.drop("key"), "rep")  # a rep may stand for several sets when ids repeat
-    tiles, _ = materialise(dealt(weighted, percent).select("grp", "i", "j", "slot", "rep", "print", "weight"), "ngram")
-    # By sorting at every size: the table of tiles grows with the documents, so it is not for broadcasting.
-    texts = rows.withColumnRenamed("doc_id", "rep").join(tiles.hint("merge"), ["rep", "print"])
-    order = ["grp", "i", "j", "slot", "rep", "print"]
-    linked, _ = materialise(texts.select(*order, "weight", "text").repartition("grp", "i", "j").sortWithinPartitions(*order)
-                            .mapInArrow(_tiles(n, percent), "rep bigint, links bigint, root bigint"), "ngram")
+    tiles, load = materialise(dealt(weighted, percent).select("grp", "i", "j", "slot", "rep", "print", "weight", "size"), "ngram", size=F.sum("size"))
+    texts = rows.withColumnRenamed("doc_id", "rep")
+    rounds = -(-(load["size"] or 0) // max(ROUND, (seen["size"] or 0) // 2)) or 1
+    if rounds > 1:
+        texts, _ = materialise(texts.join(weighted.select("rep", "print").hint("merge"), ["rep", "print"], "left_semi"), "ngram")
+    turn = F.pmod(F.xxhash64("grp", "i", "j"), F.lit(rounds))
+    linked = reduce(DataFrame.unionAll, [_linked(texts, tiles.where(turn == k), n, percent) for k in range(rounds)])
     reached = components(linked.select(F.col("root").alias("a"), F.col("rep").alias("b")), "ngram-links")
     links = linked.groupBy("rep").agg(F.sum("links").alias("_links"))
     known = (classes.drop("size", "print").join(links, "rep", "left").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
