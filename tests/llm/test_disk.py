@@ -78,3 +78,15 @@ def test_tiles_in_rounds(spark, monkeypatch):
     got = {tuple(r) for r in ngramjoin.join(docs, n=5, threshold=0.8).where("doc_id is not null").collect()}
     assert got == plain_join(rows, 5, 80) and len(seen) > 2
     assert max(x or 0 for x in seen) <= sum(len(t.split()) for _, t in rows)
+
+
+def test_pipeline_join_leaves_no_shuffles(spark):
+    import corpus_pipeline
+
+    was = shuffle_files(spark)
+    kept = corpus_pipeline.ngram_join(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "")
+    until = time.time() + 5
+    while shuffle_files(spark) - was and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - was
+    assert 0 < kept.count() < 200
